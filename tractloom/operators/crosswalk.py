@@ -48,14 +48,17 @@ def block_crosswalk(
 
     Areas outside the list are removed before choosing, so a block on the edge
     of the list falls inside it. Parcels collapse to distinct keys on the map
-    side, so a block or area with very many parcels costs no more than others.
+    side, so a block or area with very many parcels costs no more than others;
+    Spark moves the list check in front of that whenever the list is small
+    enough to broadcast.
     """
-    keyed = in_areas(keyed_parcels(parcels, borough, state, boroughs), area_list)
-    distinct_keys = keyed.filter(F.col("block").rlike("^[0-9]{5}$")).distinct()
+    keys = keyed_parcels(parcels, borough, state, boroughs)
+    whole = keys.filter(F.col("block").rlike("^[0-9]{5}$")).distinct()
+    listed = in_areas(whole, area_list)
     # With a plain min Spark drops the distinct step, and as it cannot fold text
     # in a hash table it would sort all parcels.
     smallest = F.min_by("geoid", "geoid")
-    return distinct_keys.groupBy("borocode", "block").agg(smallest.alias("geoid"))
+    return listed.groupBy("borocode", "block").agg(smallest.alias("geoid"))
 
 
 def block_areas(crosswalk: DataFrame) -> DataFrame:

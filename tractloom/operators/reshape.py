@@ -15,15 +15,15 @@ def survey_slice(
     survey: DataFrame,
     state: str | None = None,
     county: str | None = None,
-    **labels: object,
+    labels: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """Rows of a state or county; ``labels`` are equalities such as ``year=2018``."""
+    """Rows of a state or county; ``labels`` are equalities such as ``{"year": 2018}``."""
     prefix = (state or "") + (county or "")
     if county and not state:
         raise ValueError("a county code only has a meaning within a state")
     if prefix:
         survey = survey.filter(F.col("geoid").startswith(prefix))
-    for name, value in labels.items():
+    for name, value in (labels or {}).items():
         survey = survey.filter(F.col(name) == value)
     return survey
 

@@ -134,8 +134,9 @@ def build_area_indicators(
         sources.parcels, area_list, rules.borough, rules.state, rules.boroughs
     )
     counted = merge_keyed(record_indicators(sources, block_areas(crosswalk), rules))
-    surveyed = in_areas(survey_slice(sources.survey, rules.state, rules.county), area_list)
-    base = survey_ratios(plain_estimates(pivot_survey(surveyed, rules.variables, margins=False)))
+    surveyed = survey_slice(sources.survey, rules.state, rules.county)
+    estimates = plain_estimates(pivot_survey(surveyed, rules.variables, margins=False))
+    base = survey_ratios(in_areas(estimates, area_list))
     table = add_rates(base.join(counted, "geoid", "left"), "occ_renter_units")
     if sources.shapes is not None:
         table = table.join(sources.shapes.select("geoid", "geometry"), "geoid", "left")

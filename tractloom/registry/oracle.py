@@ -273,12 +273,7 @@ ORACLE_SQL = {
     "address_clean": _with("SELECT q, coalesce(clean_address, q) AS address, clean_address FROM cleaned"),
     "address_parts": _with("SELECT CAST(c_custkey AS VARCHAR) AS uid, address FROM places"),
     "geocode_pass": _with("SELECT uid, address, clean_address, latitude, longitude FROM first_pass"),
-    "union_by_name_fill": _with(
-        f"""SELECT uid, address, latitude, longitude, NULL AS clean_address FROM members JOIN manual USING (uid)
-        UNION ALL SELECT uid, address, latitude, longitude, clean_address FROM first_pass
-        UNION ALL SELECT uid, address, latitude, longitude, clean_address
-        FROM pending JOIN answers ON q = address || '{RETRY_SUFFIXES[1]}'"""
-    ),
+    "union_by_name_fill": _with("SELECT uid, address, latitude, longitude, clean_address FROM placed"),
     "geocode_members": _with("SELECT * FROM located"),
     "geocode_outcomes": _with(
         """SELECT outcome, count(*) AS n_members FROM (

@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractloom.fixed_values import RETRY_SUFFIXES
 from tractloom.functions.text import normalised_address, postal_address
 from tractloom.operators import counting, crosswalk, projection, relate, reshape
 from tractloom.plans import area_table, map_views, members
 from tractloom.registry import views
 from tractloom.sources.readers import standard_indicator_meta
+from tractloom.sources.sinks import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -237,14 +237,14 @@ def geocode_pass(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def union_by_name_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Overridden members, which have no clean address, stacked on the first two attempts."""
-    reference = views.address_reference(spark, folder)
-    fixed = views.members(spark, folder).join(manual_overrides(spark, folder), "uid")
-    pending = _pending(spark, folder)
-    attempts = [members.geocode_pass(pending, reference, suffix) for suffix in RETRY_SUFFIXES]
+    """Overridden members, which have no clean address, stacked on the placed ones."""
+    placed = settled(_cascade(spark, folder).placed)
     columns = ["uid", "address", "latitude", "longitude"]
-    placed = [a.select(*columns, "clean_address") for a in attempts]
-    return relate.union_filling([fixed.select(*columns), *placed])
+    overridden = F.col("outcome").endswith("override")
+    attempted = F.col("outcome").startswith("attempt")
+    return relate.union_filling(
+        [placed.filter(overridden).select(*columns), placed.filter(attempted).select(*columns, "clean_address")]
+    )
 
 
 @query
@@ -284,12 +284,13 @@ def variable_menu(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def choropleth_scale(spark: SparkSession, folder: str) -> DataFrame:
-    return map_views.choropleth(area_indicators(spark, folder), "marsh_evic_num")
+    return map_views.choropleth(settled(area_indicators(spark, folder)), "marsh_evic_num")
 
 
 @query
 def choropleth_reversed(spark: SparkSession, folder: str) -> DataFrame:
-    return map_views.choropleth(area_indicators(spark, folder), "marsh_evic_num", reverse=True)
+    table = settled(area_indicators(spark, folder))
+    return map_views.choropleth(table, "marsh_evic_num", reverse=True)
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +39,10 @@ def read_survey(
     path: str,
     state: str | None = None,
     county: str | None = None,
-    **labels: object,
+    labels: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """Survey cells of a state or county; ``labels`` such as ``year`` prune partitions."""
-    cells = survey_slice(spark.read.parquet(path), state, county, **labels)
+    """Survey cells of a state or county; ``labels`` on partition columns prune folders."""
+    cells = survey_slice(spark.read.parquet(path), state, county, labels)
     return cells.select("geoid", "variable", "estimate", "moe")
 
 
