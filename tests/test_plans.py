@@ -81,9 +81,10 @@ def test_popular_address_is_split(spark, setting):
     """A third of the members share an address; the lookup still runs as several tasks."""
     setting("spark.sql.autoBroadcastJoinThreshold", "-1")
     setting("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    setting("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20KB")
-    setting("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.2")
-    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "1KB")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.1")
+    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4KB")
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
     setting("spark.sql.shuffle.partitions", "16")
     number = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
     people = spark.range(0, 30000, 1, 8).select(
