@@ -8,23 +8,18 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tractloom.fixed_values import BOROUGH_COUNTIES, STATE, SURVEY_VARIABLES
-from tractloom.functions.keys import area_id
-from tractloom.functions.text import postal_address
+from tractloom.fixed_values import STATE, SURVEY_VARIABLES
 from tractloom.operators.reshape import unpivot_keeping_nulls
 from tractloom.plans.area_table import AreaRules, AreaSources
 from tractloom.plans.members import shape_members
 
-BLOCKS = 97
 SINCE = datetime.date(2000, 1, 1)
 
 # Purchases stand for residential evictions; the proxy area spans all boroughs.
 RULES = AreaRules(county=None, borough=None, since=SINCE, eviction_kind="purchase")
 
-
 # Only the columns that some view uses; stating them saves a job per file.
 TABLES = {
     "nation": "n_nationkey INT, n_regionkey INT",
@@ -45,112 +40,92 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _int(text: str) -> Column:
-    return F.expr(text).cast("int")
-
-
 def areas(spark: SparkSession, folder: str) -> DataFrame:
     """Nations as tracts: every region is a borough; some tracts have a suffix."""
-    number = _int("n_regionkey + 1")
-    tract = F.concat(
-        F.lpad(F.col("n_nationkey").cast("string"), 4, "0"),
-        F.when(F.col("n_nationkey") >= 20, F.lit("01")).otherwise(F.lit("")),
-    )
-    return table(spark, folder, "nation").select(
+    tracts = table(spark, folder, "nation").selectExpr(
         "n_nationkey",
-        number.alias("borocode"),
-        F.element_at(F.array(*[F.lit(b) for b in ("MN", "BX", "BK", "QN", "SI")]), number).alias("borough"),
-        tract.alias("tract2010"),
-        area_id(STATE, BOROUGH_COUNTIES, number.cast("string"), tract).alias("geoid"),
+        "n_regionkey + 1 AS borocode",
+        "element_at(array('MN', 'BX', 'BK', 'QN', 'SI'), n_regionkey + 1) AS borough",
+        "element_at(array('061', '005', '047', '081', '085'), n_regionkey + 1) AS county",
+        "concat(lpad(n_nationkey, 4, '0'), IF(n_nationkey >= 20, '01', '')) AS tract2010",
     )
+    return tracts.selectExpr("*", f"concat('{STATE}', county, rpad(tract2010, 6, '0')) AS geoid")
 
 
 def area_list(spark: SparkSession, folder: str) -> DataFrame:
-    listed = (F.col("n_nationkey") < 15) | (F.col("n_nationkey") >= 22)
-    return areas(spark, folder).filter(listed).select("geoid")
+    return areas(spark, folder).where("n_nationkey < 15 OR n_nationkey >= 22").select("geoid")
 
 
 def parcels(spark: SparkSession, folder: str) -> DataFrame:
     """One parcel per customer; block numbers repeat, so blocks straddle tracts."""
     customers = table(spark, folder, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
-    return customers.join(areas(spark, folder), "n_nationkey").select(
-        "borocode", _int(f"c_custkey % {BLOCKS}").alias("block"), "tract2010", "borough"
+    return customers.join(areas(spark, folder), "n_nationkey").selectExpr(
+        "borocode", "CAST(c_custkey % 97 AS INT) AS block", "tract2010", "borough"
     )
 
 
 def complaints(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("complaintid"),
-        _int("o_custkey % 5 + 1").alias("boroughid"),
-        _int(f"o_custkey % {BLOCKS}").alias("block"),
-        F.col("o_orderdate").alias("receiveddate"),
+    return table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS complaintid",
+        "CAST(o_custkey % 5 + 1 AS INT) AS boroughid",
+        "CAST(o_custkey % 97 AS INT) AS block",
+        "o_orderdate AS receiveddate",
     )
 
 
 def complaint_problems(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.concat("l_returnflag", "l_linestatus")
-    return table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("complaintid"),
-        F.when(kind == "NF", "NON EMERGENCY")
-        .when(kind == "AF", "EMERGENCY")
-        .when(kind == "AO", "IMMEDIATE EMERGENCY")
-        .when(kind == "RF", "HAZARDOUS")
-        .when(kind == "RO", "REFERRED")
-        .alias("type"),
+    return table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey AS complaintid",
+        """CASE concat(l_returnflag, l_linestatus)
+             WHEN 'NF' THEN 'NON EMERGENCY' WHEN 'AF' THEN 'EMERGENCY'
+             WHEN 'AO' THEN 'IMMEDIATE EMERGENCY' WHEN 'RF' THEN 'HAZARDOUS'
+             WHEN 'RO' THEN 'REFERRED' END AS type""",
     )
 
 
 def violations(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
-        _int("l_suppkey % 5 + 1").alias("boroid"),
-        _int(f"l_suppkey % {BLOCKS}").alias("block"),
-        F.translate("l_returnflag", "ANR", "ABC").alias("class"),
-        F.col("l_shipdate").alias("inspectiondate"),
+    return table(spark, folder, "lineitem").selectExpr(
+        "CAST(l_suppkey % 5 + 1 AS INT) AS boroid",
+        "CAST(l_suppkey % 97 AS INT) AS block",
+        "translate(l_returnflag, 'ANR', 'ABC') AS class",
+        "l_shipdate AS inspectiondate",
     )
 
 
-def _lot(key: str, rest: str) -> Column:
-    borough = _int(f"{key} % 5 + 1").cast("string")
-    block = F.lpad(F.expr(f"{key} % {BLOCKS}").cast("string"), 5, "0")
-    return F.concat(borough, block, F.lpad(F.expr(rest).cast("string"), 12, "0"))
+def _lot(key: str, rest: str) -> str:
+    return f"concat({key} % 5 + 1, lpad({key} % 97, 5, '0'), lpad({rest}, 12, '0'))"
 
 
 def evictions(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
-        _lot("user_id", "event_id").alias("bbl"),
-        F.col("event_type").alias("residentialcommercialind"),
+    return table(spark, folder, "events").selectExpr(
+        f"{_lot('user_id', 'event_id')} AS bbl", "event_type AS residentialcommercialind"
     )
 
 
 def rentstab_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "part").select(
-        _lot("p_partkey", "p_partkey").alias("ucbbl"), _int("p_size - 1").alias("unitsstab2007")
+    return table(spark, folder, "part").selectExpr(
+        f"{_lot('p_partkey', 'p_partkey')} AS ucbbl", "p_size - 1 AS unitsstab2007"
     )
 
 
 def rentstab_v2(spark: SparkSession, folder: str) -> DataFrame:
     """Units left per part, none for every seventh part. Aggregates the line items."""
-    kept = table(spark, folder, "lineitem").filter("l_partkey % 7 <> 0")
-    left = kept.groupBy("l_partkey").agg(F.min("l_quantity").cast("int").alias("uc2018"))
-    return left.select(_lot("l_partkey", "l_partkey").alias("ucbbl"), "uc2018")
+    kept = table(spark, folder, "lineitem").where("l_partkey % 7 <> 0")
+    left = kept.groupBy("l_partkey").min("l_quantity").toDF("l_partkey", "quantity")
+    return left.selectExpr(
+        f"{_lot('l_partkey', 'l_partkey')} AS ucbbl", "CAST(quantity AS INT) AS uc2018"
+    )
 
 
 def survey(spark: SparkSession, folder: str) -> DataFrame:
     """Survey cells in long form: cell ``n`` counts the customers whose key ``n`` divides."""
-    counts = {
-        code: F.count_if(F.expr(f"c_custkey % {n} = 0")).cast("double").alias(code)
-        for n, code in enumerate(SURVEY_VARIABLES.values(), start=1)
-    }
-    by_nation = table(spark, folder, "customer").groupBy("c_nationkey").agg(*counts.values())
-    located = by_nation.join(
-        areas(spark, folder).select(F.col("n_nationkey").alias("c_nationkey"), "geoid"), "c_nationkey"
-    ).drop("c_nationkey")
-    cells = unpivot_keeping_nulls(located)
-    return cells.select(
-        "geoid",
-        F.col("name").alias("variable"),
-        F.col("value").alias("estimate"),
-        (F.col("value") / 10).alias("moe"),
+    codes = list(SURVEY_VARIABLES.values())
+    divisible = [f"IF(c_custkey % {n} = 0, 1D, 0D) AS {code}" for n, code in enumerate(codes, start=1)]
+    counts = table(spark, folder, "customer").selectExpr("c_nationkey AS n_nationkey", *divisible)
+    by_nation = counts.groupBy("n_nationkey").sum(*codes).toDF("n_nationkey", *codes)
+    located = by_nation.join(areas(spark, folder), "n_nationkey").select("geoid", *codes)
+    return unpivot_keeping_nulls(located).selectExpr(
+        "geoid", "name AS variable", "value AS estimate", "value / 10 AS moe"
     )
 
 
@@ -167,30 +142,26 @@ def area_sources(spark: SparkSession, folder: str) -> AreaSources:
     )
 
 
-def _house(customers: DataFrame) -> DataFrame:
+def _places(spark: SparkSession, folder: str) -> DataFrame:
     """House, street and postcode of each customer; houses repeat every 5000 keys."""
-    return customers.select(
+    return table(spark, folder, "customer").selectExpr(
         "*",
-        F.expr("c_custkey % 5000").alias("house"),
-        F.when(
-            F.expr("c_custkey % 11 <> 3"),
-            F.concat(F.expr("c_custkey % 5000").cast("string"), F.lit(" "), F.col("c_mktsegment"), F.lit(" ST")),
-        ).alias("street_line"),
-        F.when(F.expr("c_custkey % 7 <> 2"), (F.col("c_nationkey") + 11000).cast("string")).alias("postcode"),
+        "c_custkey % 5000 AS house",
+        "IF(c_custkey % 11 <> 3, concat(c_custkey % 5000, ' ', c_mktsegment, ' ST'), NULL) AS street_line",
+        "IF(c_custkey % 7 <> 2, CAST(c_nationkey + 11000 AS STRING), NULL) AS postcode",
     )
 
 
 def member_records(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as raw member records, some without name, street or postcode."""
-    key = F.col("c_custkey").cast("string")
-    return _house(table(spark, folder, "customer")).select(
-        key.alias("id"),
-        F.when(F.expr("c_custkey % 13 <> 5"), F.col("c_name")).alias("Name"),
-        F.when(F.expr("c_custkey % 2 = 0"), F.lit("they/them")).alias("Pronouns"),
-        F.lpad(key, 10, "0").alias("Phone Number"),
-        F.when(F.expr("c_custkey % 3 <> 0"), F.concat(F.lit("member"), key, F.lit("@example.org"))).alias("E-Mail"),
-        F.col("street_line").alias("Address"),
-        F.col("postcode").alias("Zip code"),
+    return _places(spark, folder).selectExpr(
+        "CAST(c_custkey AS STRING) AS id",
+        "IF(c_custkey % 13 <> 5, c_name, NULL) AS Name",
+        "IF(c_custkey % 2 = 0, 'they/them', NULL) AS Pronouns",
+        "lpad(c_custkey, 10, '0') AS `Phone Number`",
+        "IF(c_custkey % 3 <> 0, concat('member', c_custkey, '@example.org'), NULL) AS `E-Mail`",
+        "street_line AS Address",
+        "postcode AS `Zip code`",
     )
 
 
@@ -200,45 +171,38 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
 
 def address_reference(spark: SparkSession, folder: str) -> DataFrame:
     """Known addresses: a third as written, a third only with the borough appended."""
-    lines = _house(table(spark, folder, "customer")).filter(
-        F.col("street_line").isNotNull() & F.expr("house % 3 <> 2")
-    )
-    address = postal_address(F.col("street_line"), F.col("postcode"))
-    return lines.select(
-        F.when(F.expr("house % 3 = 0"), address).otherwise(F.concat(address, F.lit(", queens"))).alias("q"),
-        F.when(F.expr("house % 17 <> 4"), F.col("house").cast("string")).alias("house_number"),
-        F.concat("c_mktsegment", F.lit("-SIDE STREET")).alias("street"),
-        F.coalesce("postcode", F.lit("11385")).alias("zip"),
-        F.when(F.expr("house % 19 <> 7"), F.expr("CAST(house AS DOUBLE)") / 10000 + 40).alias("latitude"),
-        (F.expr("CAST(house AS DOUBLE)") / 10000 - 74).alias("longitude"),
+    known = _places(spark, folder).where("street_line IS NOT NULL AND house % 3 <> 2")
+    return known.selectExpr(
+        "concat(street_line, ', ', coalesce(postcode, 'QN'), IF(house % 3 = 0, '', ', queens')) AS q",
+        "IF(house % 17 <> 4, CAST(house AS STRING), NULL) AS house_number",
+        "concat(c_mktsegment, '-SIDE STREET') AS street",
+        "coalesce(postcode, '11385') AS zip",
+        "IF(house % 19 <> 7, CAST(house AS DOUBLE) / 10000 + 40, NULL) AS latitude",
+        "CAST(house AS DOUBLE) / 10000 - 74 AS longitude",
     )
 
 
 def overrides(spark: SparkSession, folder: str) -> DataFrame:
     """Hand-made coordinates for every tenth member, half of them blank, some twice."""
-    chosen = table(spark, folder, "customer").filter("c_custkey % 10 = 0")
-    twice = F.when(F.expr("c_custkey % 30 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    lines = chosen.select("c_custkey", "c_acctbal", F.explode(twice).alias("copy"))
-    blank = F.expr("c_custkey % 20 = 0 AND copy = 0")
-    return lines.select(
-        F.expr("c_custkey * 2 + copy").alias("line"),
-        F.col("c_custkey").cast("string").alias("uid"),
-        F.when(~blank, F.col("c_acctbal") + F.col("copy")).alias("latitude"),
-        F.when(~blank, F.col("c_acctbal") - F.col("copy")).alias("longitude"),
+    lines = table(spark, folder, "customer").where("c_custkey % 10 = 0").selectExpr(
+        "c_custkey", "c_acctbal", "explode(IF(c_custkey % 30 = 0, array(0, 1), array(0))) AS copy"
+    )
+    filled = "c_custkey % 20 <> 0 OR copy = 1"
+    return lines.selectExpr(
+        "c_custkey * 2 + copy AS line",
+        "CAST(c_custkey AS STRING) AS uid",
+        f"IF({filled}, c_acctbal + copy, NULL) AS latitude",
+        f"IF({filled}, c_acctbal - copy, NULL) AS longitude",
     )
 
 
 def menu_meta(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as indicator metadata; size 1 and 2 play the two kinds of totals group."""
-    group = (
-        F.when(F.col("p_size") == 1, F.lit("Totals"))
-        .when(F.col("p_size") == 2, F.lit("Totals (2014-18)"))
-        .otherwise(F.concat(F.col("p_type"), F.lit(" (a) and "), F.col("p_brand"), F.lit(" (b)")))
-    )
-    return table(spark, folder, "part").select(
-        F.col("p_partkey").alias("order"),
-        group.alias("var_group"),
-        F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("var_name"),
-        F.col("p_name").alias("display_name"),
-        F.lit("num").alias("val_fmt"),
+    return table(spark, folder, "part").selectExpr(
+        "p_partkey AS order",
+        """CASE p_size WHEN 1 THEN 'Totals' WHEN 2 THEN 'Totals (2014-18)'
+             ELSE concat(p_type, ' (a) and ', p_brand, ' (b)') END AS var_group""",
+        "concat('v', p_partkey) AS var_name",
+        "p_name AS display_name",
+        "'num' AS val_fmt",
     )
