@@ -84,3 +84,11 @@ def test_scale_of_a_single_value_and_of_none(table):
 def test_legend(table):
     assert [r.value for r in choropleth_legend(table, "occ_units").collect()] == [400.0, 300.0, 80.0]
     assert [r.value for r in choropleth_legend(table, "marsh_evic_num").collect()] == [2.0]
+
+
+def test_detail_tables_refuse_what_is_no_metadata(spark, table):
+    many = spark.range(10_001).selectExpr(
+        "CAST(id AS INT) AS order", "'g' AS var_group", "'v' AS var_name", "'d' AS display_name", "'num' AS val_fmt"
+    )
+    with pytest.raises(ValueError):
+        detail_tables(table, many)

@@ -1,6 +1,7 @@
 import json
 
 import fixtures as fx
+import pytest
 from fixtures import T1
 
 from tractloom import build_area_indicators
@@ -69,3 +70,11 @@ def test_settled_rows_are_the_same(spark):
     once = sinks.settled(frame)
     assert sorted(once.collect()) == sorted(frame.collect())
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_database_reads_are_split(spark):
+    assert readers.jdbc_options("t", ("id", 0, 100, 8)) == {
+        "dbtable": "t", "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "8",
+    }
+    with pytest.raises(ValueError, match="hpd_complaints"):
+        readers.read_database_sources(spark, "jdbc:none", fx.survey(spark), {})

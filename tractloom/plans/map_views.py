@@ -10,7 +10,7 @@ from tractloom.functions.numeric import display_text, scale_position
 from tractloom.functions.text import menu_label
 from tractloom.operators.reshape import unpivot_keeping_nulls
 
-DETAIL_COLUMNS = ["var_group", "display_name", "value_text"]
+MAX_META_ROWS = 10_000
 
 
 def variable_menu(meta: DataFrame, exclude_prefix: str | None = None) -> DataFrame:
@@ -53,22 +53,25 @@ def detail_table(table: DataFrame, meta: DataFrame, geoid: str) -> DataFrame:
     area = table.filter(F.col("geoid") == geoid).drop("geoid", "geometry")
     cells = unpivot_keeping_nulls(area, keys=[])
     rows = cells.join(meta, cells["name"] == meta["var_name"], "right").orderBy("order")
-    return rows.select(
-        "order", *DETAIL_COLUMNS[:2], display_text(F.col("value"), F.col("val_fmt")).alias("value_text")
-    )
+    text = display_text(F.col("value"), F.col("val_fmt"))
+    return rows.select("order", "var_group", "display_name", text.alias("value_text"))
 
 
 def detail_tables(table: DataFrame, meta: DataFrame) -> DataFrame:
     """:func:`detail_table` for every area at once.
 
-    Each area row carries the metadata, a few dozen entries, and picks its own
-    values by name: no join and no shuffle. Metadata rows without a column of
-    that name still appear for each area.
+    Each area row carries the metadata and picks its own values by name: no
+    join and no shuffle. Metadata rows without a column of that name still
+    appear for each area. Metadata describes the columns of one table, so it
+    is short; the number of its rows is checked before they travel as one list.
     """
+    if meta.limit(MAX_META_ROWS + 1).count() > MAX_META_ROWS:
+        raise ValueError(f"indicator metadata has more than {MAX_META_ROWS} rows")
     entries = meta.agg(F.collect_list(F.struct(*meta.columns))).scalar()
     named = [c for c in table.columns if c not in ("geoid", "geometry")]
     pairs = [x for c in named for x in (F.lit(c), F.col(c).cast("double"))]
-    rows = table.select("geoid", F.create_map(*pairs).alias("values"), F.explode(entries).alias("entry"))
+    mapped = table.select("geoid", F.create_map(*pairs).alias("values"))
+    rows = mapped.select("geoid", "values", F.explode(entries).alias("entry"))
     value = F.try_element_at(F.col("values"), F.col("entry.var_name"))
     return rows.select(
         "geoid",

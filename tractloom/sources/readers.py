@@ -90,27 +90,38 @@ def read_area_sources(spark: SparkSession, folder: str, survey: DataFrame, shape
     return AreaSources(survey=survey, shapes=shapes, **tables)
 
 
+def jdbc_options(table: str, split: tuple[str, object, object, int] | None = None) -> dict[str, str]:
+    """Reader options for one table, read in parallel ranges of a column if given."""
+    options = {"dbtable": table}
+    if split is not None:
+        column, lower, upper, partitions = split
+        options |= {
+            "partitionColumn": column,
+            "lowerBound": str(lower),
+            "upperBound": str(upper),
+            "numPartitions": str(partitions),
+        }
+    return options
+
+
 def read_database_sources(
     spark: SparkSession,
     url: str,
     survey: DataFrame,
+    split_on: Mapping[str, tuple[str, object, object, int]],
     shapes: DataFrame | None = None,
-    split_on: dict[str, tuple[str, object, object, int]] | None = None,
-    **options: str,
+    **connection: str,
 ) -> AreaSources:
     """The seven record tables over JDBC.
 
-    ``split_on`` maps a database table to (column, lower, upper, partitions);
-    a table that is not listed is read by one task.
+    ``split_on`` maps every database table to (column, lower, upper,
+    partitions): no table is left to a single task.
     """
-    split_on = split_on or {}
+    missing = {table for table, _ in _RELATIONS.values()} - set(split_on)
+    if missing:
+        raise ValueError(f"no split given for {sorted(missing)}")
     tables = {}
     for role, (table, columns) in _RELATIONS.items():
-        reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
-        if table in split_on:
-            column, lower, upper, partitions = split_on[table]
-            reader = reader.options(
-                partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=partitions
-            )
-        tables[role] = reader.load().select(*columns)
+        reader = spark.read.format("jdbc").option("url", url).options(**connection)
+        tables[role] = reader.options(**jdbc_options(table, split_on[table])).load().select(*columns)
     return AreaSources(survey=survey, shapes=shapes, **tables)
