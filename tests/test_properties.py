@@ -55,6 +55,32 @@ def test_fanout_counts_equal_the_joined_rows(spark, left, right):
     assert {(r.g, r.t): r.n_rows for r in rows} == wanted
 
 
+@FEW
+@given(
+    st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3)), max_size=10),
+    st.lists(st.tuples(st.integers(0, 2), st.sampled_from([0, 1, 2, 3, None])), max_size=10),
+)
+def test_unit_losses_equal_the_joined_rows(spark, before, after):
+    blocks = spark.createDataFrame([(400010, "x"), (400011, "y")], "block_id INT, geoid STRING")
+    lots = {0: "4000100001", 1: "4000100002", 2: "4000110001"}
+    old = spark.createDataFrame([(lots[k], u) for k, u in before], schemas.RENTSTAB_SUMMARY)
+    new = spark.createDataFrame([(lots[k], u) for k, u in after], schemas.RENTSTAB_V2)
+    pairs = [
+        ("y" if k == 2 else "x", u, v)
+        for k, u in before
+        for other, v in after
+        if other == k and v is not None and 0 < u >= v
+    ]
+    wanted = {
+        g: (float(sum(u - v for h, u, v in pairs if h == g)), sum(u for h, u, _ in pairs if h == g))
+        for g in {g for g, _, _ in pairs}
+    }
+    rows = counting.unit_losses(old, new, blocks).collect()
+    assert {r.geoid: (r.dereg_units, r.dereg_pct) for r in rows} == {
+        g: (lost, lost / had) for g, (lost, had) in wanted.items()
+    }
+
+
 def test_crosswalk_has_one_listed_area_per_block(spark, folder):
     found = crosswalk.block_crosswalk(views.parcels(spark, folder), views.area_list(spark, folder))
     assert found.groupBy("borocode", "block").count().filter("count > 1").isEmpty()

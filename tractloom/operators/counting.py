@@ -95,15 +95,18 @@ def unit_losses(before: DataFrame, after: DataFrame, blocks: DataFrame) -> DataF
     """Regulated units lost, and their share of the units there were.
 
     Only buildings that had units and gained none count; a building missing
-    from ``after`` is in neither the difference nor the total.
+    from ``after`` is in neither the difference nor the total. Should an id
+    repeat, every row of one table meets every row of the other: rows that are
+    alike are counted first, and the counts multiplied.
     """
     housed = before.filter(F.col("unitsstab2007") > 0).select("ucbbl", "unitsstab2007")
     located = attach_area(housed, blocks, block_key_of_lot(F.col("ucbbl")))
-    paired = located.join(after.select("ucbbl", "uc2018"), "ucbbl", "left").filter(
-        F.col("uc2018") <= F.col("unitsstab2007")
-    )
-    lost = F.sum(F.col("unitsstab2007") - F.col("uc2018"))
+    befores = located.groupBy("ucbbl", "geoid", "unitsstab2007").agg(F.count("*").alias("befores"))
+    afters = after.groupBy("ucbbl", "uc2018").agg(F.count("*").alias("afters"))
+    paired = befores.join(afters, "ucbbl", "left").filter(F.col("uc2018") <= F.col("unitsstab2007"))
+    pairs = F.col("befores") * F.col("afters")
+    lost = F.sum(pairs * (F.col("unitsstab2007") - F.col("uc2018")))
     return paired.groupBy("geoid").agg(
         lost.cast("double").alias("dereg_units"),
-        ratio(lost, F.sum("unitsstab2007")).alias("dereg_pct"),
+        ratio(lost, F.sum(pairs * F.col("unitsstab2007"))).alias("dereg_pct"),
     )
