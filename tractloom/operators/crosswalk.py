@@ -53,7 +53,7 @@ def block_crosswalk(
     enough to broadcast.
     """
     keys = keyed_parcels(parcels, borough, state, boroughs)
-    whole = keys.filter(F.col("block").rlike("^[0-9]{5}$")).distinct()
+    whole = keys.filter(F.concat("borocode", "block").rlike("^[1-9][0-9]{5}$")).distinct()
     listed = in_areas(whole, area_list)
     # With a plain min Spark drops the distinct step, and as it cannot fold text
     # in a hash table it would sort all parcels.
@@ -68,8 +68,8 @@ def block_areas(crosswalk: DataFrame) -> DataFrame:
     :mod:`tractloom.functions.keys`; an int and an 11-character id per row stay
     within some tens of megabytes whatever the size of the record tables.
     """
-    keyed = crosswalk.select(block_key(F.col("borocode"), F.col("block")).alias("block_id"), "geoid")
-    return F.broadcast(keyed.filter(F.col("block_id").isNotNull()))
+    key = block_key(F.col("borocode"), F.col("block"))
+    return F.broadcast(crosswalk.select(key.alias("block_id"), "geoid"))
 
 
 def attach_area(records: DataFrame, blocks: DataFrame, block: Column) -> DataFrame:
