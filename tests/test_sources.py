@@ -40,11 +40,12 @@ def test_snapshot_is_replaced(spark, tmp_path):
 
 def test_append_creates_then_adds(spark, tmp_path):
     path = str(tmp_path / "rows")
-    frame = spark.createDataFrame([("a,b", None), ("c", 1.5)], "s STRING, v DOUBLE")
+    frame = spark.createDataFrame([("a,b", None), ('12 "B" St, \\x', 1.5)], "s STRING, v DOUBLE")
     sinks.append_csv(frame, path)
     sinks.append_csv(frame, path)
     rows = readers.read_csv(spark, path, "s STRING, v DOUBLE").collect()
-    assert sorted((r.s, r.v) for r in rows) == [("a,b", None), ("a,b", None), ("c", 1.5), ("c", 1.5)]
+    quoted = ('12 "B" St, \\x', 1.5)
+    assert sorted((r.s, r.v) for r in rows) == [quoted, quoted, ("a,b", None), ("a,b", None)]
 
 
 def test_sources_from_parquet_copies(spark, tmp_path):
@@ -78,3 +79,10 @@ def test_database_reads_are_split(spark):
     }
     with pytest.raises(ValueError, match="hpd_complaints"):
         readers.read_database_sources(spark, "jdbc:none", fx.survey(spark), {})
+
+
+def test_doubled_quotes_in_a_hand_made_file(spark, tmp_path):
+    path = tmp_path / "manual.csv"
+    path.write_text('uid,address,latitude,longitude\nm1,"12 ""B"" St, QN",40.5,-73.5\nm2,"",,\n')
+    rows = readers.read_overrides(spark, str(path)).collect()
+    assert {(r.uid, r.latitude, r.longitude) for r in rows} == {("m1", 40.5, -73.5), ("m2", None, None)}

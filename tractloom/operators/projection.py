@@ -58,7 +58,7 @@ def add_rates(
     All columns but the keys become double; the rate of ``x_num`` is ``x_rt``.
     Dividing by zero gives NULL.
     """
-    counted = [c for c in frame.columns if c.endswith(suffix)]
+    counted = [c for c in frame.columns if c.lower().endswith(suffix)]
     rate = f"try_divide(CAST({{col}} AS DOUBLE), CAST({base} AS DOUBLE)) * {per}"
     rated = across(frame, counted, rate, "{col}_rt")
     return rename_by_pattern(cast_except(rated, keys), f"{suffix}_rt", "_rt")

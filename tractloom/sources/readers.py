@@ -15,7 +15,8 @@ from tractloom.sources import schemas
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """A CSV with a header line; quotes inside quoted text are doubled."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
 def read_area_list(spark: SparkSession, path: str) -> DataFrame:

@@ -20,7 +20,8 @@ def append_csv(frame: DataFrame, path: str) -> None:
 
     Empty text is written as nothing at all and reads back as NULL.
     """
-    frame.write.mode("append").option("header", True).option("emptyValue", "").csv(path)
+    writer = frame.write.mode("append").option("header", True)
+    writer.option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def settled(frame: DataFrame) -> DataFrame:
