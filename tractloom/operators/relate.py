@@ -38,6 +38,21 @@ def anti_chain(frame: DataFrame, others: Sequence[DataFrame], key: str = "uid")
     return reduce(lambda kept, other: kept.join(other.select(key), key, "left_anti"), others, frame)
 
 
+def spread_left_join(
+    rows: DataFrame, table: DataFrame, key: str, by: str, spread: int = 4
+) -> DataFrame:
+    """Left join to a table with one row per key, when very many rows may share a key.
+
+    The rows of a key are split into ``spread`` parts by another column, and
+    the table is repeated for each part. A popular key so becomes several
+    tasks, and because both sides are then exchanged for this join, adaptive
+    execution can split what is still too large.
+    """
+    parts = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(spread)).cast("int"))
+    copies = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return parts.join(copies, [key, "part"], "left").drop("part")
+
+
 def first_per_key(frame: DataFrame, key: str, order: Column | str) -> DataFrame:
     """The row with the lowest ``order`` of each key; ``order`` must be unique within a key.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tractloom.fixed_values import RETRY_SUFFIXES
 from tractloom.functions.text import normalised_address, postal_address
 from tractloom.operators.projection import fill_text
-from tractloom.operators.relate import first_per_key
+from tractloom.operators.relate import first_per_key, spread_left_join
 from tractloom.sources.sinks import append_csv
 
 MEMBER_COLUMNS = ["uid", "name", "pronouns", "phone", "email", "address"]
@@ -67,22 +67,9 @@ def address_book(reference: DataFrame, suffixes: Sequence[str] = RETRY_SUFFIXES)
     return entries.groupBy("filing.address").agg(best.alias("found"))
 
 
-def look_up_addresses(rows: DataFrame, book: DataFrame, spread: int = 4) -> DataFrame:
-    """Left join of ``rows`` to the book on ``address``; many rows may share one address.
-
-    Each address is split into ``spread`` groups by member, and the book, one
-    row per address, is repeated for each. A popular address so becomes several
-    tasks, and because both sides are then exchanged for this join, adaptive
-    execution can split what is still too large.
-    """
-    groups = rows.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(spread)).cast("int"))
-    copies = book.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return groups.join(copies, ["address", "part"], "left").drop("part")
-
-
 def geocode_pass(rows: DataFrame, reference: DataFrame, suffix: str = "") -> DataFrame:
     """One attempt on its own: the rows that ``address + suffix`` places."""
-    found = look_up_addresses(rows, address_book(reference, [suffix]))
+    found = spread_left_join(rows, address_book(reference, [suffix]), "address", by="uid")
     return found.filter(F.col("found").isNotNull()).select(
         *rows.columns, "found.clean_address", "found.latitude", "found.longitude"
     )
@@ -135,11 +122,9 @@ def resolve_cascade(
         F.col("latitude").alias("fixed_latitude"),
         F.col("longitude").alias("fixed_longitude"),
     )
-    known = (
-        members.withColumnRenamed("address", "own_address")
-        .join(fixed, "uid", "left")
-        .withColumn("overridden", F.coalesce("overridden", F.lit(False)))
-    )
+    known = spread_left_join(
+        members.withColumnRenamed("address", "own_address"), fixed, "uid", "own_address", spread
+    ).withColumn("overridden", F.coalesce("overridden", F.lit(False)))
     # Rows that need no lookup get a text no address has, one per member: NULL
     # or a shared text would send them all to the same task.
     searched = F.coalesce(
@@ -147,7 +132,7 @@ def resolve_cascade(
         F.concat(F.lit("\u0000"), F.col("uid")),
     )
     rows = known.withColumn("address", searched)
-    found = look_up_addresses(rows, address_book(reference, suffixes), spread)
+    found = spread_left_join(rows, address_book(reference, suffixes), "address", "uid", spread)
     outcome = (
         F.when(F.col("overridden") & F.col("fixed_latitude").isNotNull(), F.lit("override"))
         .when(F.col("overridden"), F.lit("blank override"))

@@ -222,7 +222,8 @@ def _scale(direction: str) -> str:
     position = "(marsh_evic_num - low) / nullif(high - low, 0)"
     return _with(
         f"""SELECT geoid, marsh_evic_num AS value,
-          CASE WHEN marsh_evic_num IS NULL THEN NULL WHEN low = high THEN 0.5 ELSE {direction.format(position)} END AS pos,
+          CASE WHEN marsh_evic_num IS NULL THEN NULL WHEN low = high THEN 0.5
+            ELSE {direction.format(position)} END AS pos,
           marsh_evic_num IS NULL AS is_missing
         FROM wide CROSS JOIN (SELECT min(marsh_evic_num) AS low, max(marsh_evic_num) AS high FROM wide) AS d"""
     )

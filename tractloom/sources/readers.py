@@ -82,7 +82,9 @@ _RELATIONS = {
 }
 
 
-def read_area_sources(spark: SparkSession, folder: str, survey: DataFrame, shapes: DataFrame | None = None) -> AreaSources:
+def read_area_sources(
+    spark: SparkSession, folder: str, survey: DataFrame, shapes: DataFrame | None = None
+) -> AreaSources:
     """The seven record tables from parquet copies named like the database tables."""
     tables = {
         role: spark.read.parquet(f"{folder}/{table}").select(*columns)
