@@ -14,7 +14,6 @@ from tractloom.fixed_values import (
     SURVEY_VARIABLES,
     VIOLATION_CLASSES,
 )
-from tractloom.plans.area_table import SURVEY_SHARES
 from tractloom.registry.queries import DETAIL_AREA
 from tractloom.registry.views import SINCE
 
@@ -39,9 +38,22 @@ _SURVEY_COUNTS = ",\n      ".join(
     f"CAST(sum(CASE WHEN c_custkey % {n} = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS {name}"
     for n, name in enumerate(SURVEY_VARIABLES, start=1)
 )
+_POOR = "renter_pov_fam5 + renter_pov_fam9 + renter_pov_fam12"
+_NOT_POOR = "renter_nonpov_fam16 + renter_nonpov_fam20 + renter_nonpov_fam23"
+_CHILDREN = "renter_child_num18 + renter_child_num22 + renter_child_num25"
+_BURDEN = "CASE WHEN rent_burden_num1 <> 0 THEN nullif(rent_burden_num1 - rent_burden_num11, 0) END"
 _SHARES = {
-    name: f"CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0)"
-    for name, (part, whole) in SURVEY_SHARES.items()
+    "rent_burden_30p_pct": (
+        f"(rent_burden_num7 + rent_burden_num8 + rent_burden_num9 + rent_burden_num10) / {_BURDEN}"
+    ),
+    "rent_burden_50p_pct": f"rent_burden_num10 / {_BURDEN}",
+    "renter_fam_pov_pct": f"({_POOR}) / nullif({_POOR} + {_NOT_POOR}, 0)",
+    "renter_pct": "occ_renter_units / nullif(occ_units, 0)",
+    "unit_occ_rent_child_pct": f"({_CHILDREN}) / nullif(occ_renter_units, 0)",
+    "renter_white_pct": "renter_white_num / nullif(occ_renter_units, 0)",
+    "renter_black_pct": "renter_black_num / nullif(occ_renter_units, 0)",
+    "renter_asian_pct": "renter_asian_num / nullif(occ_renter_units, 0)",
+    "renter_latin_pct": "renter_latin_num / nullif(occ_renter_units, 0)",
 }
 _SURVEY_COLUMNS = ", ".join(f"{_SHARES[c]} AS {c}" if c in _SHARES else c for c in SURVEY_COLUMNS)
 
