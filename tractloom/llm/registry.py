@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractloom.llm import decontaminate, quality, secrets
+from tractloom.llm import chat, decontaminate, mixing, quality, secrets, urls
 from tractloom.llm.common import table
 
 
@@ -16,6 +16,20 @@ def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_spans(docs).select("doc_id", *secrets.digest())
 
 
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.perspectives(table(spark, folder, "conversations"))
+
+
+def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urls.judged_urls(pages, urls.hosts_mostly_blocked(pages)).drop("url")
+
+
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", mixing.sizes(F.col("text")).alias("size"))
+    return mixing.fair_queue_mix(docs, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.benchmark_hits(docs, table(spark, folder, "benchmark"))
@@ -31,12 +45,14 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    narrow = quality.quality_verdicts(docs)
-    return narrow.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+    return quality.quality_verdicts(docs, carried=["doc_id"]).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": op4_secret_scans,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_url_filters": op6_url_filters,
+    "op7_source_mixing": op7_source_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
