@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractloom.llm.common import SPACES, settle, unpacked, whole, words
+from tractloom.llm.common import SPACES, col, settle, unpacked, whole, words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = "#*$%&|<>"
@@ -39,12 +39,14 @@ BROADCAST_GROUPS = 100_000
 SALTS = 16
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`doc` (all columns as a struct) and the counts of each document.
+def counted(docs: DataFrame, text: str, carried: list[str]) -> DataFrame:
+    """`doc` (the carried columns as a struct) and the counts of each document.
 
     Equal windows of five words are found by 64-bit hashes within one document, without leaving its row.
     """
-    first = docs.select(whole(docs).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    first = docs.select(
+        whole(docs.select(*map(col, carried))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")
+    )
     split = first.select(
         "doc",
         words(F.col("body")).alias("words"),
@@ -126,19 +128,14 @@ def fences(rated: DataFrame) -> DataFrame:
         )
 
     language = merged(["lang"], "l_").withColumnRenamed("lang", "l_lang")
-    # A constant key: one row at most, and still an ordinary join.
-    corpus = merged([], "c_").withColumn("c_key", F.lit(0).cast("int"))
-    joined = (
-        fine.withColumn("key", F.when(F.col("n") >= 0, F.lit(0)))
-        .join(language, F.col("lang").eqNullSafe(F.col("l_lang")))
-        .join(corpus, F.col("key") == F.col("c_key"))
-    )
+    corpus = merged([], "c_").select(F.struct(*[f"c_{r}" for r in RATES]))
+    joined = fine.join(language, F.col("lang").eqNullSafe(F.col("l_lang"))).withColumn("corpus", corpus.scalar())
 
     def chosen(r: str) -> Column:
         return (
             F.when(F.col("n") >= MIN_GROUP, F.col(r))
             .when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{r}"))
-            .otherwise(F.col(f"c_{r}"))
+            .otherwise(F.col(f"corpus.c_{r}"))
         )
 
     def quantile(sketch: Column, rank: float) -> Column:
@@ -170,19 +167,26 @@ def with_fences(rated: DataFrame, limits: DataFrame, most: int = BROADCAST_GROUP
 
 
 def quality_verdicts(
-    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", most: int = BROADCAST_GROUPS
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    source: str = "source",
+    carried: list[str] | None = None,
+    most: int = BROADCAST_GROUPS,
 ) -> DataFrame:
-    """All columns of `docs`, the counts, the rates, `base_failed` and `kept`.
+    """The carried columns (all, unless named), the counts, the rates, `base_failed` and `kept`.
 
-    Counting happens once: its result, documents included, is settled, and both the sketches and the verdicts read
-    from it the columns they need. Columns added here replace input columns of the same name.
+    Counting happens once: its result, with the carried columns, is settled, and both the sketches and the verdicts
+    read from it what they need. Columns added here replace input columns of the same name.
     """
-    names = docs.columns
+    names = docs.columns if carried is None else carried
+    groups = F.struct(col(lang).cast("string").alias("lang"), col(source).cast("string").alias("source"))
+    work = docs.select(*[col(n).alias(f"c{i}") for i, n in enumerate(names)], groups.alias("g"), col(text).alias("t"))
+    carry = [f"c{i}" for i in range(len(names))]
     rated = settle(
-        counted(docs, text).select(
-            "*", *_rates(), base_failed().alias("base_failed"),
-            F.col("doc").getField(lang).cast("string").alias("lang"),
-            F.col("doc").getField(source).cast("string").alias("source"),
+        counted(work, "t", [*carry, "g"]).select(
+            F.struct(*[F.col(f"doc.{c}").alias(n) for c, n in zip(carry, names, strict=True)]).alias("doc"),
+            "doc.g.lang", "doc.g.source", "n_lines", *COUNTS, *_rates(), base_failed().alias("base_failed"),
         ),
         "quality",
     )
@@ -198,5 +202,5 @@ def quality_verdicts(
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    judged = quality_verdicts(docs.select(whole(docs).alias("d"), "text", "lang", "source"))
+    judged = quality_verdicts(docs.select(whole(docs).alias("d"), "text", "lang", "source"), carried=["d"])
     return unpacked(judged.filter("kept"), "d", docs.columns)
