@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractloom.llm import chat, decontaminate, mixing, quality, secrets, urls
+from tractloom.llm import chat, decontaminate, mixing, quality, secrets, simhash, urls
 from tractloom.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.fair_queue_mix(docs, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, carried=["doc_id"])
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.benchmark_hits(docs, table(spark, folder, "benchmark"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_url_filters": op6_url_filters,
     "op7_source_mixing": op7_source_mixing,
+    "op8_simhash_duplicates": op8_simhash_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
