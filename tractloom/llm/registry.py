@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractloom.llm import chat, decontaminate, mixing, quality, secrets, simhash, urls
+from tractloom.llm import chat, decontaminate, mixing, quality, repeats, secrets, simhash, toxicity, urls
 from tractloom.llm.common import table
 
 
+def op1_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels have two columns, so the chain has two links: low quality, then toxic."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chain = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    return toxicity.toxicity(docs, table(spark, folder, "labels"), chain).drop("text")
+
+
+def op3_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    left = repeats.without_repeats(docs, carried=["doc_id"], with_bytes=False)
+    return left.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return secrets.secret_spans(docs).select("doc_id", *secrets.digest())
@@ -54,6 +69,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_chain": op1_toxicity_chain,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_secret_scans": op4_secret_scans,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_url_filters": op6_url_filters,
