@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractloom.llm import chat, decontaminate, mixing, quality, repeats, secrets, simhash, toxicity, urls
+from tractloom.llm import chat, decontaminate, language_model, mixing, quality, repeats, secrets, simhash, toxicity, urls
 from tractloom.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op1_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(docs, table(spark, folder, "labels"), chain).drop("text")
 
 
+def op2_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return language_model.language_model_scores(docs, carried=["doc_id"])
+
+
 def op3_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     left = repeats.without_repeats(docs, carried=["doc_id"], with_bytes=False)
@@ -70,6 +75,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
+    "op2_language_model": op2_language_model,
     "op3_repeated_passages": op3_repeated_passages,
     "op4_secret_scans": op4_secret_scans,
     "op5_chat_formatting": op5_chat_formatting,
