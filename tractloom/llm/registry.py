@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tractloom.llm import chat, decontaminate, language_model, mixing, quality, repeats, secrets, simhash, toxicity, urls
 from tractloom.llm.common import table
+from tractloom.llm.oracle import ORACLE_SQL
 
 
 def op1_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +38,9 @@ def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    return chat.perspectives(table(spark, folder, "conversations"))
+    views = chat.perspectives(table(spark, folder, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return views.withColumn("mask", F.array_join(spans, ","))
 
 
 def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

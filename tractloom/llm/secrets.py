@@ -18,6 +18,7 @@ from bisect import bisect_left
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tractloom.llm.common import unpacked, whole
 
@@ -42,7 +43,9 @@ KEY = re.compile(r"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+_-]{20,}={0,2}(?![A-Za-z0-9/+
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure)\.com\b""", re.A)
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 
-SPAN_TYPE = "array<struct<kind:string,start:int,end:int>>"
+SPAN_TYPE = T.ArrayType(
+    T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
+)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -121,7 +124,7 @@ def _spans(text: pd.Series) -> pd.Series:
     return pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in all_spans(t)] for t in text])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _redacted(text: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
     for t, found in zip(text, spans, strict=True):

@@ -29,6 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tractloom.llm.common import col, settle, unpacked, whole
 
@@ -62,7 +63,7 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
 

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tractloom.llm.common import col, unpacked, whole
 
@@ -44,7 +45,7 @@ def hashed_words(text: bytes | None) -> np.ndarray:
     return np.fromiter({zlib.crc32(w) % FEATURES for w in words}, np.int64)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _features(text: pd.Series) -> pd.Series:
     return pd.Series([np.sort(hashed_words(t)).astype(np.int32) for t in text])
 
