@@ -116,7 +116,7 @@ class Cascade:
         inside = F.lit(False)
         for at in reversed(range(len(self.levels))):
             inside = self._in_level(key, at) & ~inside
-        return F.coalesce(inside, F.lit(False))
+        return key.isNotNull() & F.coalesce(inside, F.lit(False))
 
     def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
         """A boolean column: by the cascade, or by a join where the list is too long to be copied."""
