@@ -14,5 +14,6 @@ def test_entry_returns_the_wide_table(spark):
 
 
 def test_every_query_is_registered_with_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(contract.QUERIES) == set(contract.ORACLE_SQL)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
     assert all(callable(q) for q in contract.queries().values())

@@ -3,7 +3,16 @@ import pytest
 from fixtures import T1, T2, T3
 from pyspark.sql import functions as F
 
-from tractloom import build_area_indicators, choropleth, choropleth_legend, detail_table, detail_tables, variable_menu
+from tractloom import (
+    build_area_indicators,
+    choropleth,
+    choropleth_legend,
+    detail_table,
+    detail_tables,
+    legend_breaks,
+    undescribed_columns,
+    variable_menu,
+)
 from tractloom.functions.numeric import display_text
 from tractloom.sources.readers import standard_indicator_meta
 
@@ -33,10 +42,10 @@ def test_display_text(spark, value, style, text):
 
 
 def test_menu(spark):
-    menu = variable_menu(standard_indicator_meta(spark)).collect()
+    menu = variable_menu(standard_indicator_meta(spark).repartition(5)).orderBy("order").collect()
     assert len(menu) == 33
-    assert tuple(menu[0]) == ("Totals: Total Units", "occ_units")
-    assert ("Renters: Renter Units", "occ_renter_units") in [tuple(r) for r in menu]
+    assert tuple(menu[0]) == (0, "Totals: Total Units", "occ_units")
+    assert ("Renters: Renter Units", "occ_renter_units") in [tuple(r)[1:] for r in menu]
     assert variable_menu(standard_indicator_meta(spark), exclude_prefix="Totals").count() == 31
 
 
@@ -59,10 +68,11 @@ def test_detail_tables_agree_with_single_ones(spark, table):
     extra = spark.createDataFrame([(40, "Other", "no_such_column", "Nothing", "num")], meta.schema)
     meta = meta.unionByName(extra)
     every = detail_tables(table, meta)
-    assert every.count() == 3 * 34
+    assert every.count() == 3 * 33
+    assert [r.var_name for r in undescribed_columns(table, meta).collect()] == ["no_such_column"]
     for geoid in (T1, T2, T3):
         one = detail_table(table, meta, geoid).collect()
-        assert every.filter(F.col("geoid") == geoid).drop("geoid").orderBy("order").collect() == one
+        assert every.filter(F.col("geoid") == geoid).drop("geoid").orderBy("order").collect() == one[:-1]
         assert one[-1].value_text == "—"
 
 
@@ -86,9 +96,21 @@ def test_legend(table):
     assert [r.value for r in choropleth_legend(table, "marsh_evic_num").collect()] == [2.0]
 
 
-def test_detail_tables_refuse_what_is_no_metadata(spark, table):
-    many = spark.range(10_001).selectExpr(
-        "CAST(id AS INT) AS order", "'g' AS var_group", "'v' AS var_name", "'d' AS display_name", "'num' AS val_fmt"
+def test_long_metadata_is_joined_like_any_other(spark, table):
+    many = spark.range(12_000).selectExpr(
+        "CAST(id AS INT) AS order", "'g' AS var_group", "IF(id = 7, 'occ_units', concat('v', id)) AS var_name",
+        "'d' AS display_name", "'num' AS val_fmt",
     )
-    with pytest.raises(ValueError):
-        detail_tables(table, many)
+    assert {r.value_text for r in detail_tables(table, many).collect()} == {"400", "300", "80"}
+    assert undescribed_columns(table, many).count() == 11_999
+
+
+def test_breaks_are_round_and_within_the_domain(spark, table):
+    assert [r.value for r in legend_breaks(table, "occ_units").collect()] == [400.0, 300.0, 200.0, 100.0]
+    assert [r.value for r in legend_breaks(table, "marsh_evic_num").collect()] == [2.0]
+    assert legend_breaks(table, "renter_fam_pov_pct").collect() == []
+
+
+def test_shapes_reach_the_map(spark, table):
+    assert choropleth(table, "occ_units").columns == ["geoid", "value", "pos", "is_missing", "geometry"]
+    assert "geometry" not in choropleth(table.drop("geometry"), "occ_units").columns

@@ -45,8 +45,8 @@ def test_no_cross_join_and_no_python(spark, folder, name):
 def test_one_crosswalk_serves_all_records(spark, folder):
     built = build_area_indicators(views.area_sources(spark, folder), views.area_list(spark, folder), views.RULES)
     plan = executed_plan(built)
-    assert len(re.findall(r"BroadcastHashJoin \[block_id", plan)) == 4
-    assert len(re.findall(r"ReusedExchange \[block_id", plan)) == 3
+    assert len(re.findall(r"BroadcastHashJoin \[block_id", plan)) == 5
+    assert len(re.findall(r"ReusedExchange \[block_id", plan)) == 4
 
 
 def test_filters_and_columns_reach_the_scan(spark, folder):
@@ -56,7 +56,7 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
     plan = plan_of(counting.violation_counts(views.violations(spark, folder), blocks, since=views.SINCE))
     scan = next(line for line in plan.splitlines() if "lineitem" in line)
     assert "GreaterThanOrEqual(l_shipdate,2000-01-01" in scan
-    assert "ReadSchema: struct<l_suppkey:bigint,l_returnflag:string,l_shipdate:timestamp_ntz>" in scan
+    assert "ReadSchema: struct<l_partkey:bigint,l_returnflag:string,l_shipdate:timestamp_ntz>" in scan
     plan = plan_of(counting.eviction_counts(views.evictions(spark, folder), blocks, "purchase"))
     scan = next(line for line in plan.splitlines() if "events" in line)
     assert "EqualTo(event_type,purchase)" in scan
@@ -69,12 +69,32 @@ def test_merging_indicators_adds_no_shuffle(spark, folder, setting):
     assert "Exchange" not in above
 
 
-def test_parcels_are_not_sorted(spark, folder):
-    """Text keys are folded in a hash table before anything is sorted."""
+def test_crosswalk_takes_one_exchange_and_no_sort(spark, folder):
+    """Block keys and areas are whole numbers until the result, folded in a hash table."""
     plan = plan_of(QUERIES["crosswalk"](spark, folder))
-    scan, upward = plan.index("FileScan"), plan[: plan.index("FileScan")]
-    assert scan > 0
-    assert upward.rindex("HashAggregate") > upward.rindex("SortAggregate")
+    assert "SortAggregate" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+def test_later_stock_is_pruned_before_it_moves(spark, folder):
+    """Only buildings on mapped blocks are grouped; two exchanges feed the join."""
+    blocks = crosswalk.block_areas(
+        crosswalk.block_crosswalk(views.parcels(spark, folder), views.area_list(spark, folder))
+    )
+    after = views.rentstab_summary(spark, folder).withColumnRenamed("unitsstab2007", "uc2018")
+    plan = plan_of(counting.unit_losses(views.rentstab_summary(spark, folder), after, blocks))
+    assert len(re.findall(r"BroadcastHashJoin \[block_id", plan)) == 2
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_building_a_query_starts_no_job(spark, folder, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"building-{name}", name)
+    try:
+        QUERIES[name](spark, folder)
+        assert not tracker.getJobIdsForGroup(f"building-{name}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_popular_address_is_split(spark, setting):

@@ -66,13 +66,6 @@ def test_sources_from_parquet_copies(spark, tmp_path):
     assert again.filter(f"geoid = '{T1}'").first() == built.filter(f"geoid = '{T1}'").first()
 
 
-def test_settled_rows_are_the_same(spark):
-    frame = spark.range(100).selectExpr("id", "id % 7 AS k")
-    once = sinks.settled(frame)
-    assert sorted(once.collect()) == sorted(frame.collect())
-    assert spark.sparkContext.getCheckpointDir() is not None
-
-
 def test_database_reads_are_split(spark):
     assert readers.jdbc_options("t", ("id", 0, 100, 8)) == {
         "dbtable": "t", "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "8",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tractloom.fixed_values import BLOCK_KEY_WIDTH, BLOCK_WIDTH, TRACT_WIDTH
 
-_BLOCK_SPAN = 10**BLOCK_WIDTH
+BLOCK_SPAN = 10**BLOCK_WIDTH
 
 
 def padded_block(block: Column) -> Column:
@@ -40,8 +40,8 @@ def block_key(borough: Column, block: Column) -> Column:
     """
     digit = borough.try_cast("int")
     number = block.try_cast("int")
-    in_range = digit.between(1, 9) & number.between(0, _BLOCK_SPAN - 1)
-    return F.when(in_range, digit * _BLOCK_SPAN + number)
+    in_range = digit.between(1, 9) & number.between(0, BLOCK_SPAN - 1)
+    return F.when(in_range, digit * BLOCK_SPAN + number)
 
 
 def block_key_of_lot(lot: Column) -> Column:

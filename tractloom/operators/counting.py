@@ -59,7 +59,9 @@ def complaint_counts(
         block_key(F.col("boroughid"), F.col("block")),
     )
     occurrences = located.groupBy("complaintid", "geoid").agg(F.count("*").alias("occurrences"))
-    counts = problems.groupBy("complaintid").agg(*count_equal("type", types))
+    # A problem without a type changes neither a count nor a missing one.
+    typed = problems.filter(F.col("type").isNotNull())
+    counts = typed.groupBy("complaintid").agg(*count_equal("type", types))
     return (
         occurrences.join(counts, "complaintid", "left")
         .groupBy("geoid")
@@ -97,13 +99,19 @@ def unit_losses(before: DataFrame, after: DataFrame, blocks: DataFrame) -> DataF
     Only buildings that had units and gained none count; a building missing
     from ``after`` is in neither the difference nor the total. Should an id
     repeat, every row of one table meets every row of the other: rows that are
-    alike are counted first, and the counts multiplied.
+    alike are counted first, and the counts multiplied. Equal ids start with the
+    same block, so rows of ``after`` on unmapped blocks are dropped before they
+    move, as are those without a number of units, which can't be compared.
     """
     housed = before.filter(F.col("unitsstab2007") > 0).select("ucbbl", "unitsstab2007")
     located = attach_area(housed, blocks, block_key_of_lot(F.col("ucbbl")))
     befores = located.groupBy("ucbbl", "geoid", "unitsstab2007").agg(F.count("*").alias("befores"))
-    afters = after.groupBy("ucbbl", "uc2018").agg(F.count("*").alias("afters"))
-    paired = befores.join(afters, "ucbbl", "left").filter(F.col("uc2018") <= F.col("unitsstab2007"))
+    left = attach_area(
+        after.filter(F.col("uc2018").isNotNull()).select("ucbbl", "uc2018"), blocks, block_key_of_lot(F.col("ucbbl"))
+    )
+    # The area goes along so that this join reads the very crosswalk that the others do.
+    afters = left.groupBy("ucbbl", "geoid", "uc2018").agg(F.count("*").alias("afters"))
+    paired = befores.join(afters, ["ucbbl", "geoid"]).filter(F.col("uc2018") <= F.col("unitsstab2007"))
     pairs = F.col("befores") * F.col("afters")
     lost = F.sum(pairs * (F.col("unitsstab2007") - F.col("uc2018")))
     return paired.groupBy("geoid").agg(

@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractloom.fixed_values import BOROUGH_COUNTIES, STATE
-from tractloom.functions.keys import area_id, block_key, padded_block
+from tractloom.fixed_values import BOROUGH_COUNTIES, STATE, TRACT_WIDTH
+from tractloom.functions.keys import BLOCK_SPAN, area_id, block_key, padded_block
 
 
 def keyed_parcels(
@@ -37,6 +37,33 @@ def in_areas(frame: DataFrame, area_list: DataFrame, key: str = "geoid") -> Data
     return frame.join(area_list.select(key), key, "left_semi")
 
 
+def _tract_number(tract: Column) -> Column:
+    """The padded tract as a whole number in the order of its text: its bytes, six of them.
+
+    Tract codes are plain ASCII; any other text gives NULL and matches nothing.
+    """
+    padded = F.rpad(tract, TRACT_WIDTH, "0")
+    return F.when(F.octet_length(padded) == TRACT_WIDTH, F.conv(F.hex(padded), 16, 10).cast("bigint"))
+
+
+def _listed_tracts(area_list: DataFrame, state: str, boroughs: Mapping[str, str]) -> DataFrame:
+    """The listed areas of each borough as numbers."""
+    county_at = len(state) + 1
+    counties = F.array(*[F.struct(F.lit(int(b)).alias("digit"), F.lit(c).alias("county")) for b, c in boroughs.items()])
+    own = area_list.filter(F.col("geoid").startswith(state)).select("geoid", F.explode(counties).alias("b"))
+    fits = F.col("geoid").substr(F.lit(county_at), F.length("b.county")) == F.col("b.county")
+    tract = F.col("geoid").substr(F.lit(county_at) + F.length("b.county"), F.length("geoid"))
+    whole = own.filter(fits & (F.length(tract) == TRACT_WIDTH))
+    return whole.select(F.col("b.digit").alias("digit"), _tract_number(tract).alias("tract"))
+
+
+def check_boroughs(boroughs: Mapping[str, str]) -> None:
+    """Refuse borough codes that are no single digit: they can't form a block key."""
+    wrong = sorted(b for b in boroughs if len(b) != 1 or b not in "123456789")
+    if wrong:
+        raise ValueError(f"borough codes must be one digit from 1 to 9, not {wrong}")
+
+
 def block_crosswalk(
     parcels: DataFrame,
     area_list: DataFrame,
@@ -47,18 +74,28 @@ def block_crosswalk(
     """One area per borough and block: the smallest listed area it touches.
 
     Areas outside the list are removed before choosing, so a block on the edge
-    of the list falls inside it. Parcels collapse to distinct keys on the map
-    side, so a block or area with very many parcels costs no more than others;
-    Spark moves the list check in front of that whenever the list is small
-    enough to broadcast.
+    of the list falls inside it. Within a borough areas differ by their tract
+    alone, so parcels are folded as two whole numbers in one hash aggregation,
+    on the map side first: a block or area with very many parcels costs no more
+    than others. Text is made for the blocks of the result only.
     """
-    keys = keyed_parcels(parcels, borough, state, boroughs)
-    whole = keys.filter(F.concat("borocode", "block").rlike("^[1-9][0-9]{5}$")).distinct()
-    listed = in_areas(whole, area_list)
-    # With a plain min Spark drops the distinct step, and as it cannot fold text
-    # in a hash table it would sort all parcels.
-    smallest = F.min_by("geoid", "geoid")
-    return listed.groupBy("borocode", "block").agg(smallest.alias("geoid"))
+    check_boroughs(boroughs)
+    if borough is not None:
+        parcels = parcels.filter(F.col("borough") == borough)
+    numbered = parcels.select(
+        F.col("borocode").try_cast("int").alias("digit"),
+        block_key(F.col("borocode"), F.col("block")).alias("key"),
+        _tract_number(F.col("tract2010")).alias("tract"),
+    ).filter(F.col("key").isNotNull() & F.col("tract").isNotNull())
+    listed = numbered.join(_listed_tracts(area_list, state, boroughs), ["digit", "tract"], "left_semi")
+    smallest = listed.groupBy("key").agg(F.min("tract").alias("tract"))
+    digit = F.floor(F.col("key") / BLOCK_SPAN).cast("string")
+    tract = F.decode(F.unhex(F.hex("tract")), "UTF-8")
+    return smallest.select(
+        digit.alias("borocode"),
+        padded_block(F.col("key") % BLOCK_SPAN).alias("block"),
+        area_id(state, boroughs, digit, tract).alias("geoid"),
+    )
 
 
 def block_areas(crosswalk: DataFrame) -> DataFrame:

@@ -33,9 +33,10 @@ def union_filling(frames: Sequence[DataFrame]) -> DataFrame:
 def anti_chain(frame: DataFrame, others: Sequence[DataFrame], key: str = "uid") -> DataFrame:
     """Rows of ``frame`` whose key is in none of the others.
 
-    All steps share the key, so ``frame`` is shuffled once at most.
+    All steps share the key, so ``frame`` is shuffled once at most. Keys of the others are made distinct on the map
+    side first, so one that they repeat very often costs no more than any other.
     """
-    return reduce(lambda kept, other: kept.join(other.select(key), key, "left_anti"), others, frame)
+    return reduce(lambda kept, other: kept.join(other.select(key).distinct(), key, "left_anti"), others, frame)
 
 
 def spread_left_join(

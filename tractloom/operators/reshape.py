@@ -41,7 +41,7 @@ def pivot_survey(
     """
     measures = {"E": "estimate", "M": "moe"} if margins else {"E": "estimate"}
     columns = [
-        F.expr(f"max(CASE WHEN variable = '{code}' THEN {measure} END) AS {name}{mark}")
+        F.max(F.when(F.col("variable") == code, F.col(measure))).alias(f"{name}{mark}")
         for name, code in variables.items()
         for mark, measure in measures.items()
     ]

@@ -27,7 +27,7 @@ from tractloom.operators.counting import (
     unit_losses,
     violation_counts,
 )
-from tractloom.operators.crosswalk import block_areas, block_crosswalk, in_areas
+from tractloom.operators.crosswalk import block_areas, block_crosswalk, check_boroughs, in_areas
 from tractloom.operators.projection import add_rates
 from tractloom.operators.relate import merge_keyed
 from tractloom.operators.reshape import pivot_survey, plain_estimates, survey_slice
@@ -63,8 +63,11 @@ class AreaRules:
     violation_classes: Mapping[str, str] = field(default_factory=lambda: dict(VIOLATION_CLASSES))
     variables: Mapping[str, str] = field(default_factory=lambda: dict(SURVEY_VARIABLES))
 
+    def __post_init__(self) -> None:
+        check_boroughs(self.boroughs)
 
-# Share of the finished table -> (counts that are added up, denominator).
+
+# The formulas decide results. Share of the finished table -> (counts that are added up, denominator).
 SURVEY_SHARES = {
     "rent_burden_30p_pct": (
         "rent_burden_num7 + rent_burden_num8 + rent_burden_num9 + rent_burden_num10",

@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from tractloom.fixed_values import TOTALS_GROUP
 from tractloom.functions.numeric import display_text, scale_position
 from tractloom.functions.text import menu_label
+from tractloom.operators.projection import quoted
 from tractloom.operators.reshape import unpivot_keeping_nulls
 
-MAX_META_ROWS = 10_000
-
-
 def variable_menu(meta: DataFrame, exclude_prefix: str | None = None) -> DataFrame:
-    """Menu entries: label and column name.
+    """Menu entries: place in the menu, label and column name. The lowest ``order`` is the default.
 
     Only groups named exactly ``Totals`` are left out, which spares groups
     with a year remark; ``exclude_prefix`` leaves those out as well.
@@ -22,29 +20,56 @@ def variable_menu(meta: DataFrame, exclude_prefix: str | None = None) -> DataFra
     shown = meta.filter(F.col("var_group") != TOTALS_GROUP)
     if exclude_prefix is not None:
         shown = shown.filter(~F.col("var_group").startswith(exclude_prefix))
-    return shown.select(
-        menu_label(F.col("var_group"), F.col("display_name")).alias("label"), "var_name"
-    )
+    label = menu_label(F.col("var_group"), F.col("display_name")).alias("label")
+    return shown.select("order", label, "var_name")
+
+
+def _present(table: DataFrame, *columns: str) -> list[str]:
+    return [c for c in columns if c in table.columns]
 
 
 def choropleth(table: DataFrame, variable: str, reverse: bool = False) -> DataFrame:
-    """Every area's value and its position 0..1 on the colour scale."""
-    domain = table.agg(F.struct(F.min(variable).alias("low"), F.max(variable).alias("high"))).scalar()
-    value = F.col(variable)
-    return table.select(
+    """Every area's value and its position 0..1 on the colour scale, with its shape if there is one.
+
+    Only the columns shown are computed, and the domain is read once.
+    """
+    shown = table.select(*_present(table, "geoid", "geometry"), F.col(quoted(variable)).alias("value"))
+    domain = shown.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high"))).scalar()
+    bound = shown.withColumn("domain", domain)
+    value, low, high = F.col("value"), F.col("domain.low"), F.col("domain.high")
+    return bound.select(
         "geoid",
-        value.alias("value"),
-        scale_position(value, domain["low"], domain["high"], reverse).alias("pos"),
+        "value",
+        scale_position(value, low, high, reverse).alias("pos"),
         value.isNull().alias("is_missing"),
+        *_present(table, "geometry"),
     )
 
 
 def choropleth_legend(table: DataFrame, variable: str) -> DataFrame:
     """Distinct values, highest first."""
-    values = table.select(F.col(variable).alias("value")).filter(F.col("value").isNotNull())
+    values = table.select(F.col(quoted(variable)).alias("value")).filter(F.col("value").isNotNull())
     return values.distinct().orderBy(F.desc("value"))
 
 
+def legend_breaks(table: DataFrame, variable: str, about: int = 5) -> DataFrame:
+    """Round values for a legend, highest first: steps of 1, 2 or 5 times a power of ten within the domain.
+
+    A domain of a single value has that value's whole steps only; one without values has no breaks.
+    """
+    value = F.col(quoted(variable)).cast("double")
+    domain = table.agg(F.min(value).alias("low"), F.max(value).alias("high")).filter("low IS NOT NULL")
+    rough = (F.col("high") - F.col("low")) / about
+    base = F.pow(F.lit(10.0), F.floor(F.log10(rough)))
+    factor = F.when(rough <= base, 1).when(rough <= 2 * base, 2).when(rough <= 5 * base, 5).otherwise(10)
+    stepped = domain.withColumn("step", F.when(F.col("low") == F.col("high"), F.lit(1.0)).otherwise(base * factor))
+    first = F.ceil(F.col("low") / F.col("step")).cast("long")
+    last = F.floor(F.col("high") / F.col("step")).cast("long")
+    places = F.when(first <= last, F.sequence(first, last))
+    found = stepped.select("step", F.explode(places).alias("place"))
+    return found.select((F.col("place").cast("double") * F.col("step")).alias("value")).orderBy(F.desc("value"))
+
+
 def detail_table(table: DataFrame, meta: DataFrame, geoid: str) -> DataFrame:
     """The described indicators of one area, formatted and in display order.
 
@@ -58,25 +83,18 @@ def detail_table(table: DataFrame, meta: DataFrame, geoid: str) -> DataFrame:
 
 
 def detail_tables(table: DataFrame, meta: DataFrame) -> DataFrame:
-    """:func:`detail_table` for every area at once.
+    """The described indicators of every area, formatted; :func:`detail_table` for all at once.
 
-    Each area row carries the metadata and picks its own values by name: no
-    join and no shuffle. Metadata rows without a column of that name still
-    appear for each area. Metadata describes the columns of one table, so it
-    is short; the number of its rows is checked before they travel as one list.
+    A row per area and described column: cells meet their metadata by name. Metadata that names no column of the
+    table belongs to no cell; :func:`undescribed_columns` has it.
     """
-    if meta.limit(MAX_META_ROWS + 1).count() > MAX_META_ROWS:
-        raise ValueError(f"indicator metadata has more than {MAX_META_ROWS} rows")
-    entries = meta.agg(F.collect_list(F.struct(*meta.columns))).scalar()
+    cells = unpivot_keeping_nulls(table.drop("geometry"))
+    rows = cells.join(meta, cells["name"] == meta["var_name"])
+    text = display_text(F.col("value"), F.col("val_fmt"))
+    return rows.select("geoid", "order", "var_group", "display_name", text.alias("value_text"))
+
+
+def undescribed_columns(table: DataFrame, meta: DataFrame) -> DataFrame:
+    """Metadata whose name is no column of the table: it is a dash for every area, so it is given once."""
     named = [c for c in table.columns if c not in ("geoid", "geometry")]
-    pairs = [x for c in named for x in (F.lit(c), F.col(c).cast("double"))]
-    mapped = table.select("geoid", F.create_map(*pairs).alias("values"))
-    rows = mapped.select("geoid", "values", F.explode(entries).alias("entry"))
-    value = F.try_element_at(F.col("values"), F.col("entry.var_name"))
-    return rows.select(
-        "geoid",
-        "entry.order",
-        "entry.var_group",
-        "entry.display_name",
-        display_text(value, F.col("entry.val_fmt")).alias("value_text"),
-    )
+    return meta.filter(~F.col("var_name").isin(named)).select("order", "var_group", "var_name", "display_name")

@@ -15,9 +15,10 @@ from tractloom.fixed_values import (
     VIOLATION_CLASSES,
 )
 from tractloom.registry.queries import DETAIL_AREA
-from tractloom.registry.views import SINCE
+from tractloom.registry.views import BLOCK_KEYS, BLOCKS, SINCE
 
-_BLOCK = "lpad(CAST({0} % 97 AS VARCHAR), 5, '0')"
+_NUMBER = f"({{0}} // {BLOCK_KEYS}) % {BLOCKS}"
+_BLOCK = f"lpad(CAST({_NUMBER} AS VARCHAR), 5, '0')"
 _LOT = "CAST({0} % 5 + 1 AS VARCHAR) || " + _BLOCK + " || lpad(CAST({1} AS VARCHAR), 12, '0')"
 
 
@@ -82,8 +83,8 @@ _STEPS = {
         SELECT *, row_number() OVER (PARTITION BY borocode, block ORDER BY geoid) AS place
         FROM parcels WHERE geoid IN (SELECT geoid FROM area_list))
       WHERE place = 1""",
-    "complaints": """
-      SELECT o_orderkey AS complaintid, o_custkey % 5 + 1 AS boroughid, o_custkey % 97 AS block,
+    "complaints": f"""
+      SELECT o_orderkey AS complaintid, o_custkey % 5 + 1 AS boroughid, {_NUMBER.format('o_custkey')} AS block,
         o_orderdate AS receiveddate
       FROM orders""",
     "problems": """
@@ -106,7 +107,8 @@ _STEPS = {
     "i_violations": f"""
       SELECT geoid, {_conditional_sums("translate(l_returnflag, 'ANR', 'ABC')", VIOLATION_CLASSES)}
       FROM lineitem
-      JOIN xwalk x ON CAST(x.borocode AS INTEGER) = l_suppkey % 5 + 1 AND CAST(x.block AS INTEGER) = l_suppkey % 97
+      JOIN xwalk x ON CAST(x.borocode AS INTEGER) = l_partkey % 5 + 1
+        AND CAST(x.block AS INTEGER) = {_NUMBER.format('l_partkey')}
       WHERE l_shipdate >= DATE '{SINCE}' GROUP BY geoid""",
     "i_evictions": """
       SELECT geoid, count(*) AS marsh_evic_num
@@ -134,11 +136,12 @@ _STEPS = {
       FROM places WHERE c_custkey % 13 <> 5""",
     "reference": """
       SELECT CASE WHEN house % 3 = 0 THEN address ELSE address || ', queens' END AS q,
-        CASE WHEN house % 17 <> 4 THEN CAST(house AS VARCHAR) END AS house_number,
+        CASE WHEN house % 17 <> 4 THEN CAST(house + copy AS VARCHAR) END AS house_number,
         c_mktsegment || '-SIDE STREET' AS street, coalesce(postcode, '11385') AS zip,
-        CASE WHEN house % 19 <> 7 THEN CAST(house AS DOUBLE) / CAST(10000 AS DOUBLE) + 40 END AS latitude,
-        CAST(house AS DOUBLE) / CAST(10000 AS DOUBLE) - 74 AS longitude
-      FROM places WHERE address IS NOT NULL AND house % 3 <> 2""",
+        CASE WHEN house % 19 <> 7 THEN CAST(house AS DOUBLE) / CAST(10000 AS DOUBLE) + 40 - copy END AS latitude,
+        CAST(house AS DOUBLE) / CAST(10000 AS DOUBLE) - 74 + copy AS longitude
+      FROM places JOIN range(2) AS r(copy) ON copy = 0 OR c_custkey % 5 = 1
+      WHERE address IS NOT NULL AND house % 3 <> 2""",
     "cleaned": f"""
       SELECT *, house_number || ' ' || {_title('street')} || ', ' || zip AS clean_address FROM reference""",
     "lines": """
@@ -156,8 +159,11 @@ _STEPS = {
     "pending": """
       SELECT * FROM members WHERE address IS NOT NULL AND uid NOT IN (SELECT uid FROM manual)""",
     "answers": """
-      SELECT q, min(clean_address) AS clean_address, min(latitude) AS latitude, min(longitude) AS longitude
-      FROM cleaned WHERE latitude IS NOT NULL GROUP BY q""",
+      SELECT q, clean_address, latitude, longitude FROM (
+        SELECT *, row_number() OVER (PARTITION BY q ORDER BY latitude NULLS FIRST, longitude NULLS FIRST,
+          clean_address NULLS FIRST) AS place
+        FROM cleaned WHERE latitude IS NOT NULL)
+      WHERE place = 1""",
     "first_pass": "SELECT pending.*, clean_address, latitude, longitude FROM pending JOIN answers ON q = address",
     "second_pass": f"""
       SELECT pending.*, clean_address, latitude, longitude
@@ -179,9 +185,9 @@ _STEPS = {
     "places": """
       SELECT *, CASE WHEN street_line IS NOT NULL THEN street_line || ', ' || coalesce(postcode, 'QN') END AS address
       FROM (
-        SELECT *, c_custkey % 5000 AS house,
+        SELECT *, c_custkey // 2 AS house,
           CASE WHEN c_custkey % 11 <> 3
-            THEN CAST(c_custkey % 5000 AS VARCHAR) || ' ' || c_mktsegment || ' ST' END AS street_line,
+            THEN CAST(c_custkey // 2 AS VARCHAR) || ' ' || c_mktsegment || ' ST' END AS street_line,
           CASE WHEN c_custkey % 7 <> 2 THEN CAST(c_nationkey + 11000 AS VARCHAR) END AS postcode
         FROM customer)""",
     **_STEPS,
@@ -220,7 +226,7 @@ _STEPS["details"] = """
           '—') AS value_text
       FROM wide a CROSS JOIN meta m LEFT JOIN cells c ON c.geoid = a.geoid AND c.name = m.var_name"""
 _STEPS["menu"] = """
-      SELECT 'v' || CAST(p_partkey AS VARCHAR) AS var_name, p_name AS display_name,
+      SELECT p_partkey AS "order", 'v' || CAST(p_partkey AS VARCHAR) AS var_name, p_name AS display_name,
         CASE p_size WHEN 1 THEN 'Totals' WHEN 2 THEN 'Totals (2014-18)'
           ELSE p_type || ' (a) and ' || p_brand || ' (b)' END AS var_group
       FROM part"""
@@ -282,11 +288,14 @@ ORACLE_SQL = {
           SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)
         WHERE place = 1""",
     "manual_overrides": _with("SELECT * FROM manual"),
-    "anti_join_chain": _with("SELECT uid, address FROM pending"),
+    "anti_join_chain": _with("SELECT uid, address FROM pending WHERE uid NOT IN (SELECT uid FROM first_pass)"),
     "address_clean": _with("SELECT q, coalesce(clean_address, q) AS address, clean_address FROM cleaned"),
     "address_parts": _with("SELECT CAST(c_custkey AS VARCHAR) AS uid, address FROM places"),
     "geocode_pass": _with("SELECT uid, address, clean_address, latitude, longitude FROM first_pass"),
-    "union_by_name_fill": _with("SELECT uid, address, latitude, longitude, clean_address FROM placed"),
+    "union_by_name_fill": _with(
+        """SELECT uid, address, latitude, longitude, NULL AS clean_address FROM members JOIN manual USING (uid)
+        UNION ALL SELECT uid, address, latitude, longitude, clean_address FROM first_pass"""
+    ),
     "geocode_members": _with("SELECT * FROM located"),
     "geocode_outcomes": _with(
         """SELECT outcome, count(*) AS n_members FROM (
@@ -306,7 +315,7 @@ ORACLE_SQL = {
     ),
     "member_points": _with("SELECT uid, name, address, longitude AS x, latitude AS y FROM located"),
     "variable_menu": _with(
-        """SELECT regexp_replace(var_group, '\\s\\(.*?\\)', '', 'g') || ': ' || display_name AS label, var_name
+        """SELECT "order", regexp_replace(var_group, '\\s\\(.*?\\)', '', 'g') || ': ' || display_name AS label, var_name
         FROM menu WHERE var_group <> 'Totals'"""
     ),
     "choropleth_scale": _scale("{0}"),
@@ -314,6 +323,20 @@ ORACLE_SQL = {
     "choropleth_legend": _with(
         "SELECT DISTINCT marsh_evic_num AS value FROM wide WHERE marsh_evic_num IS NOT NULL"
     ),
+    "legend_breaks": _with(
+        """SELECT CAST(place AS DOUBLE) * step AS value FROM (
+          SELECT *, unnest(range(CAST(ceil(low / step) AS BIGINT), CAST(floor(high / step) AS BIGINT) + 1)) AS place
+          FROM (SELECT *, CASE WHEN low = high THEN 1 ELSE base * CASE WHEN rough <= base THEN 1
+              WHEN rough <= 2 * base THEN 2 WHEN rough <= 5 * base THEN 5 ELSE 10 END END AS step
+            FROM (SELECT *, power(10, floor(log10(rough))) AS base
+              FROM (SELECT min(marsh_evic_num) AS low, max(marsh_evic_num) AS high,
+                (max(marsh_evic_num) - min(marsh_evic_num)) / 5 AS rough FROM wide))))"""
+    ),
+    "undescribed_columns": _with(
+        """SELECT * FROM (SELECT "order", var_group, var_name, display_name FROM meta
+          UNION ALL SELECT CAST("order" AS INTEGER), var_group, var_name, display_name FROM menu)
+        WHERE var_name NOT IN (SELECT name FROM cells)"""
+    ),
     "detail_table": _with("SELECT * FROM details"),
     "detail_table_area": _with(
         f"""SELECT "order", var_group, display_name, value_text FROM details WHERE geoid = '{DETAIL_AREA}'"""

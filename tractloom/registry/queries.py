@@ -16,7 +16,6 @@ from tractloom.operators import counting, crosswalk, projection, relate, reshape
 from tractloom.plans import area_table, map_views, members
 from tractloom.registry import views
 from tractloom.sources.readers import standard_indicator_meta
-from tractloom.sources.sinks import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -186,13 +185,10 @@ def _cascade(spark: SparkSession, folder: str) -> members.Cascade:
     )
 
 
-def _no_address(everyone: DataFrame) -> DataFrame:
-    return everyone.filter(F.col("address").isNull())
-
-
 def _pending(spark: SparkSession, folder: str) -> DataFrame:
-    everyone = views.members(spark, folder)
-    return relate.anti_chain(everyone, [_no_address(everyone), views.overrides(spark, folder)])
+    """Members with an address and without an override."""
+    addressed = views.members(spark, folder).filter(F.col("address").isNotNull())
+    return relate.anti_chain(addressed, [views.overrides(spark, folder)])
 
 
 @query
@@ -211,7 +207,10 @@ def manual_overrides(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def anti_join_chain(spark: SparkSession, folder: str) -> DataFrame:
-    return _pending(spark, folder).select("uid", "address")
+    """Members that neither an override nor the first attempt places."""
+    addressed = views.members(spark, folder).filter(F.col("address").isNotNull())
+    placed = members.geocode_pass(addressed, views.address_reference(spark, folder))
+    return relate.anti_chain(addressed, [views.overrides(spark, folder), placed]).select("uid", "address")
 
 
 @query
@@ -237,14 +236,12 @@ def geocode_pass(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def union_by_name_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Overridden members, which have no clean address, stacked on the placed ones."""
-    placed = settled(_cascade(spark, folder).placed)
+    """Overridden members, which have no clean address, stacked on those that the first attempt places."""
     columns = ["uid", "address", "latitude", "longitude"]
-    overridden = F.col("outcome").endswith("override")
-    attempted = F.col("outcome").startswith("attempt")
-    return relate.union_filling(
-        [placed.filter(overridden).select(*columns), placed.filter(attempted).select(*columns, "clean_address")]
-    )
+    fixed = members.first_overrides(views.overrides(spark, folder))
+    overridden = views.members(spark, folder).join(fixed, "uid")
+    found = members.geocode_pass(_pending(spark, folder), views.address_reference(spark, folder))
+    return relate.union_filling([overridden.select(*columns), found.select(*columns, "clean_address")])
 
 
 @query
@@ -284,13 +281,12 @@ def variable_menu(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def choropleth_scale(spark: SparkSession, folder: str) -> DataFrame:
-    return map_views.choropleth(settled(area_indicators(spark, folder)), "marsh_evic_num")
+    return map_views.choropleth(area_indicators(spark, folder), "marsh_evic_num")
 
 
 @query
 def choropleth_reversed(spark: SparkSession, folder: str) -> DataFrame:
-    table = settled(area_indicators(spark, folder))
-    return map_views.choropleth(table, "marsh_evic_num", reverse=True)
+    return map_views.choropleth(area_indicators(spark, folder), "marsh_evic_num", reverse=True)
 
 
 @query
@@ -298,6 +294,21 @@ def choropleth_legend(spark: SparkSession, folder: str) -> DataFrame:
     return map_views.choropleth_legend(area_indicators(spark, folder), "marsh_evic_num")
 
 
+@query
+def legend_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    return map_views.legend_breaks(area_indicators(spark, folder), "marsh_evic_num")
+
+
+@query
+def undescribed_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata of parts and of indicators against the area table: the parts' names are no columns."""
+    table = area_indicators(spark, folder)
+    meta = standard_indicator_meta(spark).unionByName(
+        views.menu_meta(spark, folder).withColumn("order", F.col("order").cast("int"))
+    )
+    return map_views.undescribed_columns(table, meta)
+
+
 @query
 def detail_table(spark: SparkSession, folder: str) -> DataFrame:
     """The detail table of every area."""

@@ -20,6 +20,15 @@ SINCE = datetime.date(2000, 1, 1)
 # Purchases stand for residential evictions; the proxy area spans all boroughs.
 RULES = AreaRules(county=None, borough=None, since=SINCE, eviction_kind="purchase")
 
+# Three keys in a row share a block number, so blocks straddle areas at every size. Numbers start
+# over at a prime just below the 100,000 that a block key can hold.
+BLOCK_KEYS, BLOCKS = 3, 99_991
+
+
+def block_of(key: str) -> str:
+    return f"({key} div {BLOCK_KEYS}) % {BLOCKS}"
+
+
 # Only the columns that some view uses; stating them saves a job per file.
 TABLES = {
     "nation": "n_nationkey INT, n_regionkey INT",
@@ -28,7 +37,7 @@ TABLES = {
     ),
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ",
     "lineitem": (
-        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE,"
+        "l_orderkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE,"
         " l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
     ),
     "events": "event_id BIGINT, user_id BIGINT, event_type STRING",
@@ -57,10 +66,10 @@ def area_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parcels(spark: SparkSession, folder: str) -> DataFrame:
-    """One parcel per customer; block numbers repeat, so blocks straddle tracts."""
+    """One parcel per customer; neighbours share a block number, so blocks straddle tracts."""
     customers = table(spark, folder, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
     return customers.join(areas(spark, folder), "n_nationkey").selectExpr(
-        "borocode", "CAST(c_custkey % 97 AS INT) AS block", "tract2010", "borough"
+        "borocode", f"CAST({block_of('c_custkey')} AS INT) AS block", "tract2010", "borough"
     )
 
 
@@ -68,7 +77,7 @@ def complaints(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").selectExpr(
         "o_orderkey AS complaintid",
         "CAST(o_custkey % 5 + 1 AS INT) AS boroughid",
-        "CAST(o_custkey % 97 AS INT) AS block",
+        f"CAST({block_of('o_custkey')} AS INT) AS block",
         "o_orderdate AS receiveddate",
     )
 
@@ -85,15 +94,15 @@ def complaint_problems(spark: SparkSession, folder: str) -> DataFrame:
 
 def violations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").selectExpr(
-        "CAST(l_suppkey % 5 + 1 AS INT) AS boroid",
-        "CAST(l_suppkey % 97 AS INT) AS block",
+        "CAST(l_partkey % 5 + 1 AS INT) AS boroid",
+        f"CAST({block_of('l_partkey')} AS INT) AS block",
         "translate(l_returnflag, 'ANR', 'ABC') AS class",
         "l_shipdate AS inspectiondate",
     )
 
 
 def _lot(key: str, rest: str) -> str:
-    return f"concat({key} % 5 + 1, lpad({key} % 97, 5, '0'), lpad({rest}, 12, '0'))"
+    return f"concat({key} % 5 + 1, lpad({block_of(key)}, 5, '0'), lpad({rest}, 12, '0'))"
 
 
 def evictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,11 +152,11 @@ def area_sources(spark: SparkSession, folder: str) -> AreaSources:
 
 
 def _places(spark: SparkSession, folder: str) -> DataFrame:
-    """House, street and postcode of each customer; houses repeat every 5000 keys."""
+    """House, street and postcode of each customer; two keys in a row share a house number."""
     return table(spark, folder, "customer").selectExpr(
         "*",
-        "c_custkey % 5000 AS house",
-        "IF(c_custkey % 11 <> 3, concat(c_custkey % 5000, ' ', c_mktsegment, ' ST'), NULL) AS street_line",
+        "c_custkey div 2 AS house",
+        "IF(c_custkey % 11 <> 3, concat(c_custkey div 2, ' ', c_mktsegment, ' ST'), NULL) AS street_line",
         "IF(c_custkey % 7 <> 2, CAST(c_nationkey + 11000 AS STRING), NULL) AS postcode",
     )
 
@@ -170,15 +179,17 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def address_reference(spark: SparkSession, folder: str) -> DataFrame:
-    """Known addresses: a third as written, a third only with the borough appended."""
-    known = _places(spark, folder).where("street_line IS NOT NULL AND house % 3 <> 2")
+    """Known addresses: a third as written, a third only with the borough appended, some twice and differently."""
+    known = _places(spark, folder).where("street_line IS NOT NULL AND house % 3 <> 2").selectExpr(
+        "*", "explode(IF(c_custkey % 5 = 1, array(0, 1), array(0))) AS copy"
+    )
     return known.selectExpr(
         "concat(street_line, ', ', coalesce(postcode, 'QN'), IF(house % 3 = 0, '', ', queens')) AS q",
-        "IF(house % 17 <> 4, CAST(house AS STRING), NULL) AS house_number",
+        "IF(house % 17 <> 4, CAST(house + copy AS STRING), NULL) AS house_number",
         "concat(c_mktsegment, '-SIDE STREET') AS street",
         "coalesce(postcode, '11385') AS zip",
-        "IF(house % 19 <> 7, CAST(house AS DOUBLE) / 10000 + 40, NULL) AS latitude",
-        "CAST(house AS DOUBLE) / 10000 - 74 AS longitude",
+        "IF(house % 19 <> 7, CAST(house AS DOUBLE) / 10000 + 40 - copy, NULL) AS latitude",
+        "CAST(house AS DOUBLE) / 10000 - 74 + copy AS longitude",
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tractloom.fixed_values import INDICATORS
 from tractloom.operators.reshape import survey_slice
@@ -19,6 +20,26 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
+_KINDS = ((T.IntegralType,), (T.DateType, T.TimestampType, T.TimestampNTZType), (T.FractionalType,))
+
+
+def typed(frame: DataFrame, schema: str, name: str, unused: tuple[str, ...] = ()) -> DataFrame:
+    """The used columns of a schema, after a check that the table has them as declared.
+
+    Whole numbers of any width pass for each other, as do dates and timestamps: filters on them still reach the
+    scan. Anything else is refused here, by name, and not in the middle of a job.
+    """
+    have = {f.name: f.dataType for f in frame.schema.fields}
+    wanted = [f for f in T.StructType.fromDDL(schema).fields if f.name not in unused]
+    for field in wanted:
+        kind = have.get(field.name)
+        alike = any(isinstance(field.dataType, k) and isinstance(kind, k) for k in _KINDS)
+        if kind != field.dataType and not alike:
+            found = "missing" if kind is None else kind.simpleString()
+            raise TypeError(f"{name}.{field.name} should be {field.dataType.simpleString()}, but is {found}")
+    return frame.select(*[f.name for f in wanted])
+
+
 def read_area_list(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.AREA_LIST)
 
@@ -44,7 +65,12 @@ def read_survey(
 ) -> DataFrame:
     """Survey cells of a state or county; ``labels`` on partition columns prune folders."""
     cells = survey_slice(spark.read.parquet(path), state, county, labels)
-    return cells.select("geoid", "variable", "estimate", "moe")
+    return typed(cells, schemas.SURVEY, path)
+
+
+def read_address_reference(spark: SparkSession, path: str) -> DataFrame:
+    """Known addresses with coordinates, for :func:`tractloom.resolve_cascade`."""
+    return read_csv(spark, path, schemas.ADDRESS_REFERENCE)
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
@@ -71,14 +97,17 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(line.alias("line"), "uid", "latitude", "longitude")
 
 
+#: Row numbers that no count reads.
+_UNUSED = ("problemid", "violationid")
+
 _RELATIONS = {
-    "parcels": ("pluto_19v2", ["borocode", "block", "tract2010", "borough"]),
-    "complaints": ("hpd_complaints", ["complaintid", "boroughid", "block", "receiveddate"]),
-    "complaint_problems": ("hpd_complaint_problems", ["complaintid", "type"]),
-    "violations": ("hpd_violations", ["boroid", "block", "class", "inspectiondate"]),
-    "evictions": ("marshal_evictions_19", ["bbl", "residentialcommercialind"]),
-    "rentstab_summary": ("rentstab_summary", ["ucbbl", "unitsstab2007"]),
-    "rentstab_v2": ("rentstab_v2", ["ucbbl", "uc2018"]),
+    "parcels": ("pluto_19v2", schemas.PARCELS),
+    "complaints": ("hpd_complaints", schemas.COMPLAINTS),
+    "complaint_problems": ("hpd_complaint_problems", schemas.COMPLAINT_PROBLEMS),
+    "violations": ("hpd_violations", schemas.VIOLATIONS),
+    "evictions": ("marshal_evictions_19", schemas.EVICTIONS),
+    "rentstab_summary": ("rentstab_summary", schemas.RENTSTAB_SUMMARY),
+    "rentstab_v2": ("rentstab_v2", schemas.RENTSTAB_V2),
 }
 
 
@@ -87,8 +116,8 @@ def read_area_sources(
 ) -> AreaSources:
     """The seven record tables from parquet copies named like the database tables."""
     tables = {
-        role: spark.read.parquet(f"{folder}/{table}").select(*columns)
-        for role, (table, columns) in _RELATIONS.items()
+        role: typed(spark.read.parquet(f"{folder}/{table}"), schema, table, _UNUSED)
+        for role, (table, schema) in _RELATIONS.items()
     }
     return AreaSources(survey=survey, shapes=shapes, **tables)
 
@@ -124,7 +153,8 @@ def read_database_sources(
     if missing:
         raise ValueError(f"no split given for {sorted(missing)}")
     tables = {}
-    for role, (table, columns) in _RELATIONS.items():
+    for role, (table, schema) in _RELATIONS.items():
         reader = spark.read.format("jdbc").option("url", url).options(**connection)
-        tables[role] = reader.options(**jdbc_options(table, split_on[table])).load().select(*columns)
+        loaded = reader.options(**jdbc_options(table, split_on[table])).load()
+        tables[role] = typed(loaded, schema, table, _UNUSED)
     return AreaSources(survey=survey, shapes=shapes, **tables)

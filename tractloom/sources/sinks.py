@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,22 +20,3 @@ def append_csv(frame: DataFrame, path: str) -> None:
     """
     writer = frame.write.mode("append").option("header", True)
     writer.option("emptyValue", "").option("escape", '"').csv(path)
-
-
-def settled(frame: DataFrame) -> DataFrame:
-    """``frame`` computed once, for plans that read it more than once.
-
-    The rows go to the checkpoint folder the cluster names, where they outlive
-    lost executors. Without such a folder a local session gets a scratch one
-    and a cluster keeps the plan as it is.
-    """
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="tractloom-checkpoints-")
-        if folder is None:
-            return frame
-        context.setCheckpointDir(folder)
-    return frame.checkpoint()
