@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tractloom.llm.common import col, settle, unpacked, whole
@@ -285,6 +286,23 @@ def word_counts(bodies: DataFrame) -> DataFrame:
     return bodies.mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int | None = None) -> tuple[bytes, np.ndarray]:
+    """Words, blanks between them, and their counts, most frequent first, equally frequent ones by their bytes.
+
+    At most FREQUENT: all words from some count on, found from how many words have each count.
+    """
+    most = FREQUENT if most is None else most
+    by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words"))
+    upto = F.sum("words").over(W.orderBy(F.desc("c")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    least = by_count.withColumn("upto", upto).filter(F.col("upto") <= most).agg(F.min("c")).first()[0]
+    if least is None:
+        return b"", np.empty(0, np.int64)
+    top = counts.filter(F.col("c") >= least).toArrow()
+    words, times = top["word"].to_pylist(), top["c"].to_numpy()
+    order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
+    return b" ".join([words[i] for i in order]), times[order]
+
+
 class Vocabulary:
     """Frequent words, most frequent first; the first TYPES - 2 are types of their own from 2 on."""
 
@@ -358,10 +376,7 @@ def scored_texts(docs: DataFrame, text: str, doc_id: str, carried: list[str]) ->
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (total["n"] or 0) + ends, total["v"] + (1 if ends else 0)
 
-    # At most FREQUENT words; the order among equally frequent ones is by their bytes.
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
-    frequent = b" ".join(top["word"].to_pylist())
-    frequent_counts = top["c"].to_numpy()
+    frequent, frequent_counts = frequent_words(counts)
     own = frequent_counts[: TYPES - 2]
     types = np.zeros(TYPES)
     types[END], types[UNKNOWN], types[2 : 2 + len(own)] = ends, n - ends - own.sum(), own
