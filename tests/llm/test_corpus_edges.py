@@ -204,8 +204,9 @@ def removed_by_definition(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sort_bytes", [1 << 18, 200])
-def test_removed_bytes_by_definition(spark, sort_bytes):
+@pytest.mark.parametrize(("sort_bytes", "sorted_"), [(1 << 24, 1 << 20), (1 << 24, 0), (200, 1 << 20)])
+def test_removed_bytes_by_definition(spark, monkeypatch, sort_bytes, sorted_):
+    monkeypatch.setattr(repeats, "SORTED", sorted_)
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("ab é\n") for _ in range(n))
     shared = [text(n) for n in (99, 100, 101, 150, 300, 700)]

@@ -15,7 +15,8 @@ after its own. Then suffixes are emitted in ascending order: each emitted one pu
 where it starts at the front of their groups.
 
 Hot passages are reduced in every batch before they move, so a key sees a passage once per batch; runs are streamed.
-A key with more different text than `SORT_BYTES` is judged window by window, by 128-bit hashes.
+Where more than `SORTED` bytes would have to be sorted together, windows are grouped by 128-bit hashes instead, and a
+key with more different text than `SORT_BYTES` has its windows grouped that way in a shuffle.
 
 Nulls and odd input: a null text is empty; a null id comes before all others; rows with one id, repeated rows
 included, count in the order of the table; texts under 100 bytes stay whole; empty tables stay empty.
@@ -37,16 +38,16 @@ from tractloom.llm.common import col, settle, unpacked, whole
 LENGTH = 100
 GRAM = 32
 PER_WINDOW = LENGTH - GRAM + 1
-#: Bytes sorted at once, and the most that one key may bring to a sort.
-SORT_AT_ONCE = 1 << 18
-SORT_BYTES = 1 << 18
+#: Bytes of segments looked at together, the most of what is left of them to be sorted, and the most of one key.
+TOGETHER = 1 << 18
+SORTED = 1 << 20
+SORT_BYTES = 1 << 24
 NULL_ID = -(1 << 63)
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
 
-SEGMENT = "key long, seg long, id long, row long, start int, windows int, repeats boolean"
+SEGMENT = "key long, seg long, id long, row long, start int, windows int, repeats boolean, decided boolean"
 RANGE = "row long, start int, windows int"
 
 
@@ -70,11 +71,11 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:  # noqa: ANN00
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def _hashes(data: np.ndarray, width: int) -> np.ndarray:
+def _hashes(data: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     """A hash of every `width` consecutive numbers, the same for equal ones wherever they stand."""
     n = len(data)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * _power(_BASE, n))])
-    mixed = (total[width:] - total[:-width]) * _power(_INVERSE, n - width + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * _power(base, n))])
+    mixed = (total[width:] - total[:-width]) * _power(pow(base, -1, 1 << 64), n - width + 1)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         mixed ^= mixed >> np.uint64(shift)
         mixed *= np.uint64(factor)
@@ -120,7 +121,10 @@ def _firsts(key: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents (id, row, body) to segments; within a batch, later equal segments come without a key."""
+    """Documents (id, row, body) to segments; those with an equal one earlier in the batch are decided.
+
+    Decided segments only pass through, so they take a key of their own and don't pile up under a common one.
+    """
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         parts: list[list[np.ndarray]] = [[] for _ in range(7)]
@@ -144,13 +148,11 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by, new = _firsts([key, seg], [doc, row, start])
             first = np.zeros(len(by), bool)
             first[by] = new
-            shown = pd.array(key, "Int64")
-            shown[~first] = pd.NA
             yield pd.DataFrame(
                 {
-                    "key": shown,
-                    "seg": seg, "id": doc, "row": row, "start": start.astype(np.int32),
-                    "windows": windows.astype(np.int32), "repeats": repeats,
+                    "key": np.where(first, key, row * 0x9E3779B1 + start), "seg": seg, "id": doc, "row": row,
+                    "start": start.astype(np.int32), "windows": windows.astype(np.int32), "repeats": repeats,
+                    "decided": ~first,
                 }
             )
 
@@ -162,7 +164,11 @@ def _settle_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     last_key = last_seg = None
     pending: pd.DataFrame | None = None
-    for batch in batches:
+    for whole_batch in batches:
+        decided = whole_batch["decided"].to_numpy(bool)
+        if decided.any():
+            yield whole_batch[decided].assign(asked=False)
+        batch = whole_batch[~decided]
         if not len(batch):
             continue
         key, seg = batch["key"].to_numpy(np.int64), batch["seg"].to_numpy(np.int64)
@@ -268,19 +274,34 @@ def suffix_order(text: np.ndarray) -> list[int]:
     return order[1:]
 
 
+class Row:
+    """Pieces in a row of numbers, a zero after each; every window of every piece by owner and offset."""
+
+    def __init__(self, pieces: list[bytes]) -> None:
+        self.lengths = np.array([len(p) for p in pieces])
+        self.numbers = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int16) + 1
+        self.ends = np.cumsum(self.lengths + 1) - 1
+        self.numbers[self.ends] = 0
+        self.begins = self.ends - self.lengths
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.lengths - (LENGTH - 1)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        return owner, np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+    def by_piece(self, flags: np.ndarray) -> list[np.ndarray]:
+        """Flags over the numbers, cut to each piece's windows."""
+        return [flags[b : b + n - LENGTH + 1] for b, n in zip(self.begins, self.lengths, strict=True)]
+
+
 def candidates(pieces: list[bytes]) -> list[tuple[int, int, int]]:
     """(piece, from, to): the stretches whose windows have the hash of another window; no equal windows are missed."""
-    lengths = np.array([len(p) for p in pieces])
-    joined = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int16) + 1
-    ends = np.cumsum(lengths + 1) - 1
-    begins = ends - lengths
-    counts = lengths - (LENGTH - 1)
-    owner = np.repeat(np.arange(len(pieces)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    hashes = _hashes(joined, LENGTH)[begins[owner] + offset]
+    row = Row(pieces)
+    owner, offset = row.windows()
+    hashes = _hashes(row.numbers, LENGTH)[row.begins[owner] + offset]
     by = np.argsort(hashes, kind="stable")
     same = hashes[by[1:]] == hashes[by[:-1]]
-    shared = np.zeros(len(hashes) + 1, bool)
+    shared = np.zeros(len(hashes), bool)
     shared[by[1:][same]] = True
     shared[by[:-1][same]] = True
     where = np.flatnonzero(shared)
@@ -291,35 +312,47 @@ def candidates(pieces: list[bytes]) -> list[tuple[int, int, int]]:
     return list(zip(owner[first].tolist(), offset[first].tolist(), (offset[last] + LENGTH).tolist(), strict=True))
 
 
+def _later(run: np.ndarray, place: np.ndarray, own: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Of windows in runs of equal ones, those that are not at the earliest place; as positions in these arrays."""
+    by = np.lexsort([place[own, 2] + offset, place[own, 1], place[own, 0], run])
+    rest = np.ones(len(by), bool)
+    rest[:1] = False
+    rest[1:] = run[by[1:]] == run[by[:-1]]
+    return by[rest]
+
+
 def later_windows(pieces: list[bytes], place: np.ndarray) -> list[np.ndarray]:
-    """For each piece, which of its windows also occur at an earlier place, within these pieces.
+    """For each piece, which of its windows also occur at an earlier place, by sorting all suffixes.
 
     place: rows of (id, row, start); the windows of a piece follow each other.
     """
-    lengths = np.array([len(p) for p in pieces])
-    joined = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int16) + 1
-    ends = np.cumsum(lengths + 1) - 1
-    joined[ends] = 0
-    begins = ends - lengths
-    owner = np.repeat(np.arange(len(pieces)), lengths + 1)
-    left = ends[owner] - np.arange(len(joined))
-    order = np.array(suffix_order(joined))
+    row = Row(pieces)
+    owner = np.repeat(np.arange(len(pieces)), row.lengths + 1)
+    left = row.ends[owner] - np.arange(len(row.numbers))
+    order = np.array(suffix_order(row.numbers))
     order = order[left[order] >= LENGTH]
-    windows = np.lib.stride_tricks.sliding_window_view(joined, LENGTH)
+    windows = np.lib.stride_tricks.sliding_window_view(row.numbers, LENGTH)
     new = np.ones(len(order), bool)
     for at in range(1, len(order), 1 << 14):  # bounded memory
         end = min(len(order), at + (1 << 14))
         new[at:end] = (windows[order[at:end]] != windows[order[at - 1 : end - 1]]).any(axis=1)
     own = owner[order]
-    offset = order - begins[own]
-    run = np.cumsum(new)
-    by = np.lexsort([place[own, 2] + offset, place[own, 1], place[own, 0], run])
-    later = np.zeros(len(joined), bool)
-    rest = np.ones(len(by), bool)
-    rest[:1] = False
-    rest[1:] = run[by[1:]] == run[by[:-1]]
-    later[order[by[rest]]] = True
-    return [later[b : b + n - LENGTH + 1] for b, n in zip(begins, lengths, strict=True)]
+    later = np.zeros(len(row.numbers), bool)
+    later[order[_later(np.cumsum(new), place, own, order - row.begins[own])]] = True
+    return row.by_piece(later)
+
+
+def later_hashes(pieces: list[bytes], place: np.ndarray) -> list[np.ndarray]:
+    """The same by 128 bits of hashes, for more bytes than are sorted at once."""
+    row = Row(pieces)
+    owner, offset = row.windows()
+    at = row.begins[owner] + offset
+    one, two = (_hashes(row.numbers, LENGTH, base)[at] for base in (_BASE, _OTHER_BASE))
+    by = np.lexsort([two, one])
+    new = np.r_[True, (one[by[1:]] != one[by[:-1]]) | (two[by[1:]] != two[by[:-1]])]
+    later = np.zeros(len(row.numbers), bool)
+    later[at[by[_later(np.cumsum(new), place, owner[by], offset[by])]]] = True
+    return row.by_piece(later)
 
 
 def _ranges(later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,10 +370,9 @@ def later_ranges(pieces: list[bytes], places: list[tuple[int, int, int]]) -> lis
             out.append((place[1], place[2], len(text) - LENGTH + 1))
     left = sorted(_stretches(list(first), list(first.values())))
     if left:
-        texts = [text for _, text in left]
-        for (_, row, start), later in zip(
-            [place for place, _ in left], later_windows(texts, np.array([p for p, _ in left])), strict=True
-        ):
+        texts, where = [text for _, text in left], np.array([place for place, _ in left])
+        judge = later_windows if sum(map(len, texts)) <= SORTED else later_hashes
+        for (_, row, start), later in zip(where, judge(texts, where), strict=True):
             out += [(row, start + s, n) for s, n in zip(*_ranges(later), strict=True)]
     return out
 
@@ -371,7 +403,7 @@ def _sort_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = 0
         while len(bounds):
             past = size[at - 1] if at else 0
-            full = bounds[size[bounds - 1] - past >= SORT_AT_ONCE]
+            full = bounds[size[bounds - 1] - past >= TOGETHER]
             if not len(full):
                 break
             yield judged(rows.iloc[at : full[0]])
@@ -389,8 +421,8 @@ def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, row, start, piece in zip(batch["id"], batch["row"], batch["start"], batch["piece"], strict=True):
             for i in range(len(piece) - LENGTH + 1):
                 digest = np.frombuffer(xxhash.xxh3_128_digest(piece[i : i + LENGTH]), "<i8")
-                rows.append((digest[0], digest[1], doc, row, start + i, 1, False))
-        yield pd.DataFrame(rows, columns=["key", "seg", "id", "row", "start", "windows", "repeats"])
+                rows.append((digest[0], digest[1], doc, row, start + i, 1, False, False))
+        yield pd.DataFrame(rows, columns=["key", "seg", "id", "row", "start", "windows", "repeats", "decided"])
 
 
 def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -412,9 +444,8 @@ def _runs(segments_: DataFrame) -> DataFrame:
 
 def removed_ranges(docs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """(row, start, windows): runs of windows that start earlier too; docs has id (no null), row and body."""
-    cut = settle(docs.mapInPandas(_cut, SEGMENT), "segments")
-    runs = settle(_runs(cut.filter("key IS NOT NULL")), "runs")
-    found = [cut.filter("key IS NULL"), runs.filter("NOT asked")]
+    runs = settle(_runs(docs.mapInPandas(_cut, SEGMENT)), "runs")
+    found = [runs.filter("NOT asked")]
 
     asked = runs.filter("asked")
     sizes = asked.groupBy("key").agg(F.sum(F.col("windows") + F.lit(LENGTH - 1)).alias("bytes"))
@@ -435,7 +466,7 @@ def removed_ranges(docs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
     many = pieces.filter("common").mapInPandas(_window_hashes, SEGMENT)
     found.append(_runs(many).filter("NOT asked"))
     ranges = [f.select("row", "start", "windows") for f in found]
-    return settle(ranges[0].union(ranges[1]).union(ranges[2]).union(ranges[3]), "ranges")
+    return settle(ranges[0].union(ranges[1]).union(ranges[2]), "ranges")
 
 
 RESULT = (
