@@ -93,6 +93,9 @@ SURVEY_COLUMNS = [
     "renter_latin_pct",
 ]
 
+# Columns of the raw member table.
+RAW_MEMBER_COLUMNS = ["id", "Name", "Pronouns", "Phone Number", "E-Mail", "Address", "Zip code"]
+
 # What the address cascade appends and fills in.
 DEFAULT_ZIP = "QN"
 RETRY_SUFFIXES = ("", ", queens")

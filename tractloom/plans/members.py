@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractloom.fixed_values import RETRY_SUFFIXES
+from tractloom.fixed_values import RAW_MEMBER_COLUMNS, RETRY_SUFFIXES
 from tractloom.functions.text import normalised_address, postal_address
-from tractloom.operators.projection import fill_text
+from tractloom.operators.projection import fill_text, quoted
 from tractloom.operators.relate import first_per_key, spread_left_join
 from tractloom.sources.sinks import append_csv
 
@@ -28,14 +28,10 @@ class UnresolvedAddresses(RuntimeError):
 
 def shape_members(records: DataFrame) -> DataFrame:
     """Named members with one address text, from the raw member table."""
-    return records.select(
-        F.col("id").alias("uid"),
-        F.col("Name").alias("name"),
-        F.col("Pronouns").alias("pronouns"),
-        F.col("`Phone Number`").alias("phone"),
-        F.col("`E-Mail`").alias("email"),
-        postal_address(F.col("Address"), F.col("`Zip code`")).alias("address"),
-    ).filter(F.col("name").isNotNull())
+    *own, street, postcode = [F.col(quoted(c)) for c in RAW_MEMBER_COLUMNS]
+    named = [column.alias(name) for column, name in zip(own, MEMBER_COLUMNS, strict=False)]
+    shaped = records.select(*named, postal_address(street, postcode).alias("address"))
+    return shaped.filter(F.col("name").isNotNull())
 
 
 def first_overrides(overrides: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tractloom.fixed_values import RAW_MEMBER_COLUMNS
+
 AREA_LIST = "geoid STRING"
 
 PARCELS = "borocode INT, block INT, tract2010 STRING, borough STRING"
@@ -14,10 +16,7 @@ RENTSTAB_V2 = "ucbbl STRING, uc2018 INT"
 
 SURVEY = "geoid STRING, variable STRING, estimate DOUBLE, moe DOUBLE"
 
-MEMBERS = (
-    "id STRING, Name STRING, Pronouns STRING, `Phone Number` STRING, `E-Mail` STRING, "
-    "Address STRING, `Zip code` STRING"
-)
+MEMBERS = ", ".join(f"`{c}` STRING" for c in RAW_MEMBER_COLUMNS)
 OVERRIDES = "uid STRING, address STRING, latitude DOUBLE, longitude DOUBLE"
 ADDRESS_REFERENCE = (
     "q STRING, house_number STRING, street STRING, zip STRING, latitude DOUBLE, longitude DOUBLE"
