@@ -37,7 +37,7 @@ TYPES = 384
 CLASSES = 12
 HIDDEN = 12
 STEPS = 16
-LANES = 1024
+LANES = 512
 RATE = 0.01
 CLIP = 1.0
 SEED = 11
