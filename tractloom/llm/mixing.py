@@ -25,7 +25,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_PASSES = 2
 #: Rows of one hash range of the largest possible source, and of one slice of virtual time.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 8_000
 SLICE_ROWS = 2_000
 KEY_DIGITS = 15
 
