@@ -33,18 +33,18 @@ from tractloom.llm.common import col, settle, unpacked, whole
 
 ALPHA = 0.1
 #: Types of the model: end, unknown and the most frequent words, in CLASSES equal classes by frequency.
-TYPES = 384
-CLASSES = 12
-HIDDEN = 12
+TYPES = 1024
+CLASSES = 32
+HIDDEN = 16
 STEPS = 16
 LANES = 512
 RATE = 0.01
 CLIP = 1.0
 SEED = 11
 #: Words whose counts are copied to the tasks.
-FREQUENT = 200_000
+FREQUENT = 500_000
 #: Eighths of the training documents in each round.
-ROUNDS = (2, 6)
+ROUNDS = (1, 3, 4)
 PIECES = 16
 SALTS = 32
 
