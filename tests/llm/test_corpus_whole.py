@@ -1,6 +1,8 @@
 """Corpus operators do their whole job: nothing is left out because an input is large, long or far apart."""
 
-from tractloom.llm import language_model
+import random
+
+from tractloom.llm import language_model, simhash
 
 # --- 2 -----------------------------------------------------------------------------------------------------------
 
@@ -11,3 +13,31 @@ def test_the_thousandth_word_is_read_as_itself():
     types = language_model.Vocabulary.types(known.places(words)).tolist()
     assert types == [2, 383, 384, 1001, 1023, language_model.UNKNOWN, language_model.UNKNOWN, language_model.END]
     assert sum(language_model.ROUNDS) == 8 and len(language_model.ROUNDS) == 3
+
+
+# --- 8 -----------------------------------------------------------------------------------------------------------
+
+
+def test_a_long_chain_in_random_order_is_one_component(spark):
+    rng = random.Random(7)
+    for nodes in (list(range(-600, 600)), [rng.getrandbits(63) - (1 << 62) for _ in range(1200)]):
+        if nodes[0] == -600:
+            nodes = nodes[::2] + nodes[1::2][::-1]
+        chain = list(zip(nodes, nodes[1:], strict=False))
+        other = [(1 << 62, (1 << 62) + 1)]
+        links = spark.createDataFrame([(min(p), max(p)) for p in chain + other], "a long, b long").repartition(3)
+        found = dict(simhash.components(links).collect())
+        assert found == dict.fromkeys(nodes, min(nodes)) | dict.fromkeys(other[0], 1 << 62)
+
+
+def test_successive_edits_of_fingerprints_are_one_component(spark):
+    rng = random.Random(3)
+    fp, fps = rng.getrandbits(64), []
+    for _ in range(1500):
+        fps.append(fp)
+        for bit in rng.sample(range(64), 4):
+            fp ^= 1 << bit
+    nodes = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
+    unique = spark.createDataFrame([(n,) for n in nodes], "fp long")
+    found = dict(simhash.components(simhash.fingerprint_links(unique)).collect())
+    assert found == dict.fromkeys(nodes, nodes[0])

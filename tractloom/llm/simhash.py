@@ -12,8 +12,8 @@ block of bits does either. Two kinds of references follow:
 
 Equal fingerprints are one node. Under a key, members are taken in order; a member within 4 bits of an earlier
 leader is linked to it at once, so a dense group yields one link per member and not all its pairs. Keys with very
-many members are cut into tiles that cover all pairs of slices. Components are found by repeated minimum labels with
-pointer jumping, settled in every round.
+many members are cut into tiles that cover all pairs of slices. Components are found by drawing linked nodes
+together with pointer jumping; a round at least halves the nodes, and rounds go on until no link is left.
 
 Nulls and odd input: a null or empty text has fingerprint zero and is linked like any other; a null id is no
 smallest id unless all are null; repeated rows share a component; empty tables stay empty.
@@ -39,7 +39,6 @@ MAX_BITS = 4
 REFERENCES = 32
 #: Most members of a key in one task, and its share of them when it is cut into tiles.
 TILE = 4_096
-MAX_ROUNDS = 60
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -250,25 +249,56 @@ def fingerprint_links(unique: DataFrame, tile: int = TILE, blocks: int | None =
 def components(links_between: DataFrame) -> DataFrame:
     """(fp, root) for every linked fingerprint: the smallest that can be reached.
 
-    Every round takes the smallest label among neighbours and then the label's own label, which halves distances.
+    In every round each node takes its smallest neighbour, lower or not, as parent. As a neighbour's choice is never
+    larger than the node itself, only two nodes can choose each other; the smaller one of these is a root. Pointer
+    jumping turns the trees into stars, and links are drawn between their roots. Every node joins another, so at
+    least half of the nodes go in a round, whatever the order of their numbers; it ends when no link is left.
     """
-    pairs = settle(links_between, "links")
-    both = settle(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "neighbours")
-    labels = settle(both.groupBy(F.col("a").alias("fp")).agg(F.least("fp", F.min("b")).alias("root")), "labels")
-    for _ in range(MAX_ROUNDS):
-        around = both.join(labels, F.col("b") == F.col("fp")).groupBy("a").agg(F.min("root").alias("around"))
-        lower = labels.join(around, F.col("fp") == F.col("a")).select(
-            "fp", "root", F.least("root", "around").alias("next")
+    links = settle(links_between, "links")
+    labels = None
+    while links.limit(1).count():
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        chosen = settle(both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("next")), "chosen")
+        back = chosen.select(F.col("of").alias("met"), F.col("next").alias("back"))
+        mutual = (F.col("back") == F.col("of")) & (F.col("of") < F.col("next"))
+        roots = _jumped(
+            chosen.join(back, F.col("next") == F.col("met")).select(
+                "of", F.when(mutual, F.col("of")).otherwise(F.col("next")).alias("root")
+            )
         )
-        of = labels.select(F.col("fp").alias("of"), F.col("root").alias("jump"))
-        jumped = lower.join(of, F.col("next") == F.col("of"), "left").select(
-            "fp", F.least("next", F.coalesce("jump", "next")).alias("root"), F.col("root").alias("before")
+        if labels is None:
+            labels = roots.withColumnRenamed("of", "fp")
+        else:
+            later = roots.withColumnRenamed("root", "later")
+            labels = settle(
+                labels.join(later, F.col("root") == F.col("of"), "left").select(
+                    "fp", F.coalesce("later", "root").alias("root")
+                ),
+                "labels",
+            )
+        ends = [roots.select(F.col("of").alias(f"{x}_of"), F.col("root").alias(f"{x}_root")) for x in "ab"]
+        between = links.join(ends[0], F.col("a") == F.col("a_of")).join(ends[1], F.col("b") == F.col("b_of"))
+        links = settle(
+            between.filter("a_root <> b_root")
+            .select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+            .distinct(),
+            "links",
         )
-        done = settle(jumped, "labels")
-        labels = done.select("fp", "root")
-        if not done.filter("root <> before").limit(1).count():
-            return labels
-    raise RuntimeError(f"components are not complete after {MAX_ROUNDS} rounds")
+    if labels is None:
+        return links.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    least = labels.groupBy(F.col("root").alias("of")).agg(F.min("fp").alias("least"))
+    return settle(labels.join(least, F.col("root") == F.col("of")).select("fp", F.col("least").alias("root")), "labels")
+
+
+def _jumped(parents: DataFrame) -> DataFrame:
+    """Settled (of, root): every node's last ancestor. Roots are their own parents; a jump halves all distances."""
+    while True:
+        parents = settle(parents, "parents")
+        up = parents.select(F.col("of").alias("met"), F.col("root").alias("up"))
+        further = parents.join(up, F.col("root") == F.col("met"))
+        if not further.filter("up <> root").limit(1).count():
+            return parents
+        parents = further.select("of", F.col("up").alias("root"))
 
 
 def fingerprinted(docs: DataFrame, text: str, doc_id: str, carried: list[str]) -> DataFrame:
