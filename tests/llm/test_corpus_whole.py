@@ -2,7 +2,7 @@
 
 import random
 
-from tractloom.llm import language_model, simhash
+from tractloom.llm import chat, language_model, simhash
 
 # --- 2 -----------------------------------------------------------------------------------------------------------
 
@@ -41,3 +41,30 @@ def test_successive_edits_of_fingerprints_are_one_component(spark):
     unique = spark.createDataFrame([(n,) for n in nodes], "fp long")
     found = dict(simhash.components(simhash.fingerprint_links(unique)).collect())
     assert found == dict.fromkeys(nodes, nodes[0])
+
+
+# --- 5 -----------------------------------------------------------------------------------------------------------
+
+
+def test_parts_of_every_participant_make_the_whole_dialogue(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "cy", "only once")]
+    turns += [(1, i, "ann" if i % 2 else "bob", f"t{i}") for i in range(2, 200)]
+    turns += [(2, 1, "ann", f"{i:03}") for i in range(150)] + [(2, 2, "bob", "after the ties"), (2, None, "dee", "last")]
+    turns += [(3, 1, "ann", "same")] * 70 + [(3, 0, None, "x"), (3, None, "bob", "y")] + [(4, 0, "system", "alone")]
+    turns += [(None, 1, "ann", "x"), (None, 1, "bob", "x"), (None, 1, "system", "x")]
+    rows = chat.perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.part is None, r.part or 0, r.tie_part)):
+        rendered, own = got.get((r.conv_id, r.speaker), ("", []))
+        got[r.conv_id, r.speaker] = rendered + r.rendered, own + [r.rendered[m.start : m.end] for m in r.mask]
+        assert r.n_turns <= chat.PART and r.n_own == len(r.mask)
+    said = [(c, t, r or "unknown", x) for c, t, r, x in turns]
+    wanted = {(None, "ann"): ("<|start|>assistant\nx<|end|>\n", ["x"]), (None, "bob"): ("<|start|>assistant\nx<|end|>\n", ["x"])}
+    for conv, who in {(c, r) for c, _, r, _ in said if c is not None and r != "system"}:
+        own = sorted((t[1:] for t in said if t[0] == conv), key=lambda t: (t[0] is None, t[0] or 0, *t[1:]))
+        name = lambda r: "system" if r == "system" else "assistant" if r == who else f"user name={r}"  # noqa: B023, E731
+        wanted[conv, who] = (
+            "".join(f"<|start|>{name(r)}\n{x}<|end|>\n" for _, r, x in own),
+            [x for _, r, x in own if r == who],
+        )
+    assert got == wanted

@@ -3,13 +3,14 @@
 For each participant the dialogue is rendered with that speaker as the assistant and everyone else as a user named
 after their role; the mask holds the spans of the speaker's own text. System turns belong to nobody.
 
-Long dialogues come in parts of `PART` turn numbers, each rendered for those who speak in it, so that no row holds an
-unbounded group. Concatenating a speaker's parts in order gives their view of the stretch they take part in.
+Long dialogues come in parts of `PART` turn numbers, so that no row holds an unbounded group. Every participant of a
+dialogue gets every part, with an empty mask where they are silent. Concatenating a speaker's parts by `part` (null
+last) and `tie_part` gives their view of the whole dialogue.
 
 Nulls and odd input: rows without a conversation id have nothing that ties them together, each is a dialogue of its
 own; a null turn comes last; a null role is the speaker `unknown`; null texts are empty; turns with one number follow
-each other by role and text, and very many of them are spread over further parts; equal rows appear as often as they
-occur.
+each other by role and text; a part with more than `PART` turns is cut into `tie_part`s that follow each other; equal
+rows appear as often as they occur.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ def parts(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
     )
     # Equal rows are counted before they move.
     counted = rows.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
+    counted = counted.withColumn("part", F.floor(F.col("turn") / PART))
     ranked = counted.withColumn(
         "before",
         F.coalesce(
             F.sum("copies").over(
-                W.partitionBy("conv", "turn", F.when(F.col("conv").isNull(), F.xxhash64("role", "text")))
-                .orderBy("role", "text").rowsBetween(W.unboundedPreceding, -1)
+                W.partitionBy("conv", "part", F.when(F.col("conv").isNull(), F.xxhash64("turn", "role", "text")))
+                .orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
             ),
             F.lit(0),
         ),
@@ -47,7 +49,7 @@ def parts(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
     each = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     placed = each.select(
         "conv",
-        F.floor(F.col("turn") / PART).alias("part"),
+        "part",
         F.when(alone, F.lit(0)).otherwise(F.floor((F.col("before") + F.col("copy")) / PART)).alias("tie_part"),
         # What makes a row without an id a dialogue of its own.
         F.when(alone, F.struct("turn", "role", "text", "copy")).alias("own"),
@@ -56,6 +58,19 @@ def parts(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
     return placed.groupBy("conv", "part", "tie_part", "own").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
 
+def participants(turns: DataFrame, conv: str, role: str) -> DataFrame:
+    """(of, of_spread, participant): who speaks anywhere in a dialogue, system turns aside."""
+    return (
+        turns.select(
+            F.col(conv).alias("of"),
+            F.lit(0).cast("long").alias("of_spread"),
+            F.coalesce(F.col(role), F.lit("unknown")).alias("participant"),
+        )
+        .filter(F.col("of").isNotNull() & (F.col("participant") != SYSTEM))
+        .distinct()
+    )
+
+
 def _said(turn: Column, speaker: Column) -> list[Column]:
     """Header, text and end of a turn as `speaker` sees it."""
     header = (
@@ -71,8 +86,16 @@ def perspectives(
 ) -> DataFrame:
     """conv_id, speaker, part, tie_part, n_turns, n_own, rendered, mask (spans of the speaker's text, code points)."""
     grouped = parts(turns, conv, turn, role, text)
-    speakers = F.array_distinct(F.transform(F.filter("turns", lambda t: t["role"] != SYSTEM), lambda t: t["role"]))
-    views = grouped.withColumn("speaker", F.explode(speakers))
+    # Rows without an id meet nobody; they are spread so that they don't become one heap.
+    alone = F.col("conv").isNull()
+    spread = grouped.withColumn("spread", F.when(alone, F.xxhash64("own")).otherwise(F.lit(0).cast("long")))
+    told_by = participants(turns, conv, role)
+    met = (F.col("conv") == F.col("of")) & (F.col("spread") == F.col("of_spread"))
+    views = (
+        spread.join(told_by, met, "left")
+        .withColumn("speaker", F.when(alone, F.col("own.role")).otherwise(F.col("participant")))
+        .filter(F.col("speaker").isNotNull() & ~(alone & (F.col("speaker") == SYSTEM)))
+    )
     who = F.col("speaker")
     told = views.select(
         F.col("conv").alias(conv), "speaker", "part", "tie_part", "turns",
