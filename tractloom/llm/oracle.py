@@ -268,6 +268,124 @@ LEFT JOIN l ON r.lang IS NOT DISTINCT FROM l.lang
 CROSS JOIN c
 """
 
+# --- hard negatives: all scores of all anchors ------------------------------------------------------------------
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS alike,
+         CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND (a.vec_id <> b.vec_id OR a.label <> b.label)
+),
+p AS (
+  SELECT anchor, other AS positive, score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+),
+n AS (
+  SELECT p.anchor, positive, p.score AS positive_score, other, s.score,
+         row_number() OVER (PARTITION BY p.anchor, positive ORDER BY s.score DESC, other) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, other AS negative_id, positive_score,
+       score AS negative_score
+FROM n WHERE rank <= 5
+"""
+
+# --- repair of dialogues: from the last turn to the first, the best of all audits and what it leaves --------------
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+#: CRC-32 bit by bit: each character is followed by seven steps without a character.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform("
+    f"string_split({_KEY}, ''), lambda ch: [CAST(unicode(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), "
+    "lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))))"
+)
+
+
+def _way(state: int, price: str, letter: str, turn: str) -> str:
+    """An edit in front of the best way from a state: what it costs, its audit, and the turns that are left."""
+    return f"{{'c': {price} + d.w{state}.c, 'e': '{letter}' || d.w{state}.e, 'o': {turn} || d.w{state}.o}}"
+
+
+def _inserted(state: int, role: str) -> str:
+    return f"{{'c': 2 + b{state}.c, 'e': 'I' || b{state}.e, 'o': '{role}:' || chr(10) || b{state}.o}}"
+
+
+def _best(state: int) -> str:
+    wanted, step = ("assistant", 3) if state == 2 else ("user", 2)
+    keeps = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state]
+    kept = " ".join(
+        f"WHEN initial = '{i}' THEN [{_way(t, 'unfinished', 'K', 'role || chr(58) || text || chr(10)')}]"
+        for i, t in keeps.items()
+    )
+    renamed = _way(step, "2 + unfinished", "R", f"'{wanted}:' || text || chr(10)")
+    free = f"[{renamed}] || CASE {kept} ELSE [] END"
+    return f"list_min([{_way(state, '3', 'D', chr(39) * 2)}] || CASE WHEN must_go THEN [] ELSE {free} END) AS b{state}"
+
+
+_NO_TURNS = (
+    "{'c': 0, 'e': '', 'o': ''} AS w0, {'c': 4, 'e': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)} AS w1, "
+    "{'c': 2, 'e': 'I', 'o': 'assistant:' || chr(10)} AS w2, {'c': 0, 'e': '', 'o': ''} AS w3"
+)
+OP13 = f"""
+WITH RECURSIVE cases AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CAST({_CRC} AS BIGINT) % 20 AS k
+  FROM conversations
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM cases WHERE k <> 0
+),
+turns AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         lead(left(role, 1)) OVER w AS next_initial, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+),
+faults AS (
+  SELECT *, last = '' AS blank, last <> '' AND seen > 1 AS duplicate,
+         last <> '' AND seen = 1 AND last NOT IN ('.', '!', '?') AS truncated,
+         initial || next_initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM turns
+),
+signs AS (
+  SELECT *, blank OR duplicate AS must_go, CASE WHEN truncated THEN 1 ELSE 0 END AS unfinished FROM faults
+),
+d AS (
+  SELECT conv_id, n + 1 AS i, {_NO_TURNS} FROM (SELECT conv_id, n FROM signs WHERE i = 1)
+  UNION ALL
+  SELECT conv_id, i,
+         list_min([b0, {_inserted(2, "user")}, {{'c': 4 + b3.c, 'e': 'II' || b3.e,
+                   'o': 'user:' || chr(10) || 'assistant:' || chr(10) || b3.o}}]),
+         list_min([b1, {_inserted(2, "user")}, {{'c': 4 + b3.c, 'e': 'II' || b3.e,
+                   'o': 'user:' || chr(10) || 'assistant:' || chr(10) || b3.o}}]),
+         list_min([b2, {_inserted(3, "assistant")}]),
+         list_min([b3, {_inserted(2, "user")}])
+  FROM (SELECT s.conv_id, s.i, {_best(0)}, {_best(1)}, {_best(2)}, {_best(3)}
+        FROM d JOIN signs s ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND s.i = d.i - 1)
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+         count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(illegal) AS illegal
+  FROM signs GROUP BY conv_id
+)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(d.w0.c, 0) AS BIGINT) AS cost,
+       coalesce(d.w0.e, '') AS audit,
+       sha256(coalesce(left(d.w0.o, greatest(length(d.w0.o) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM a.conv_id AND d.i = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_repeated_passages": OP3,
     "op5_chat_formatting": OP5,
@@ -275,4 +393,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_source_mixing": OP7,
     "op9_decontamination": OP9,
     "op10_quality_rules": OP10,
+    "op11_hard_negatives": OP11,
+    "op13_conversation_repair": OP13,
 }

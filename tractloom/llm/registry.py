@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractloom.llm import chat, decontaminate, language_model, mixing, quality, repeats, secrets, simhash, toxicity, urls
+from tractloom.llm import (
+    chat,
+    decontaminate,
+    hard_negatives,
+    language_model,
+    mixing,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    simhash,
+    structure,
+    toxicity,
+    urls,
+)
 from tractloom.llm.common import table
 from tractloom.llm.oracle import ORACLE_SQL
 
@@ -76,6 +91,41 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_verdicts(docs, carried=["doc_id"]).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = packing.packed_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), carried=["doc_id"])
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Dialogues with planted faults; turns that are dropped stay as rows that are not present."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    case = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", blank)
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(case == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(case == 1, "").when(case == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (case != 0).alias("present"),
+        F.explode(F.when(case == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = damaged(table(spark, folder, "conversations"))
+    return structure.structure_report(turns, present=F.col("present"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_language_model": op2_language_model,
@@ -87,6 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_duplicates": op8_simhash_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_curve_packing": op12_curve_packing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
