@@ -11,12 +11,14 @@ import datetime
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tractloom.fixed_values import COMPLAINT_TYPES, RESIDENTIAL, SINCE, VIOLATION_CLASSES
 from tractloom.functions.keys import block_key, block_key_of_lot
 from tractloom.functions.numeric import ratio
 from tractloom.operators.crosswalk import attach_area
+from tractloom.operators.keyfilter import key_filter, possibly_in
 
 
 def count_equal(column: str, wanted: Mapping[str, str]) -> list[Column]:
@@ -52,6 +54,8 @@ def complaint_counts(
     no problem keep a row of NULLs. Both sides are reduced to their own key
     before they meet: problems to counts per complaint, complaints to a number
     of rows per complaint and area. Neither side can then hold a hot key.
+    Problems of other complaints are dropped in their scan by a filter of
+    the recent, mapped ones, which is read from the same exchange.
     """
     located = attach_area(
         in_period(complaints, "receiveddate", since, until).select("complaintid", "boroughid", "block"),
@@ -60,7 +64,9 @@ def complaint_counts(
     )
     occurrences = located.groupBy("complaintid", "geoid").agg(F.count("*").alias("occurrences"))
     # A problem without a type changes neither a count nor a missing one.
-    typed = problems.filter(F.col("type").isNotNull())
+    typed = problems.filter(F.col("type").isNotNull()).select("complaintid", "type")
+    # Naming the count keeps this branch equal to the other one, whose exchange it then reuses.
+    typed = possibly_in(typed, "complaintid", key_filter(occurrences.filter("occurrences > 0"), "complaintid"))
     counts = typed.groupBy("complaintid").agg(*count_equal("type", types))
     return (
         occurrences.join(counts, "complaintid", "left")
@@ -98,23 +104,31 @@ def unit_losses(before: DataFrame, after: DataFrame, blocks: DataFrame) -> DataF
 
     Only buildings that had units and gained none count; a building missing
     from ``after`` is in neither the difference nor the total. Should an id
-    repeat, every row of one table meets every row of the other: rows that are
-    alike are counted first, and the counts multiplied. Equal ids start with the
-    same block, so rows of ``after`` on unmapped blocks are dropped before they
-    move, as are those without a number of units, which can't be compared.
+    repeat, every row of one table meets every row of the other. No pairs are
+    made for that: rows of both tables are stacked and counted by value, and
+    running sums over a building's values, in order, say how many later rows
+    have at most so many units, and how many units these have. Equal ids start
+    with the same block, so rows of ``after`` on unmapped blocks are dropped
+    before they move, as are those without a number of units, which can't be
+    compared.
     """
-    housed = before.filter(F.col("unitsstab2007") > 0).select("ucbbl", "unitsstab2007")
-    located = attach_area(housed, blocks, block_key_of_lot(F.col("ucbbl")))
-    befores = located.groupBy("ucbbl", "geoid", "unitsstab2007").agg(F.count("*").alias("befores"))
-    left = attach_area(
-        after.filter(F.col("uc2018").isNotNull()).select("ucbbl", "uc2018"), blocks, block_key_of_lot(F.col("ucbbl"))
+    housed = before.filter(F.col("unitsstab2007") > 0).select("ucbbl", F.col("unitsstab2007").alias("units"))
+    later = after.filter(F.col("uc2018").isNotNull()).select("ucbbl", F.col("uc2018").alias("units"))
+    sides = [
+        attach_area(rows, blocks, block_key_of_lot(F.col("ucbbl"))).select(
+            "ucbbl", "geoid", F.col("units").cast("long").alias("units"), F.lit(b).alias("b"), F.lit(a).alias("a")
+        )
+        for rows, b, a in ((housed, 1, 0), (later, 0, 1))
+    ]
+    values = (
+        sides[0].unionByName(sides[1]).groupBy("ucbbl", "geoid", "units").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     )
-    # The area goes along so that this join reads the very crosswalk that the others do.
-    afters = left.groupBy("ucbbl", "geoid", "uc2018").agg(F.count("*").alias("afters"))
-    paired = befores.join(afters, ["ucbbl", "geoid"]).filter(F.col("uc2018") <= F.col("unitsstab2007"))
-    pairs = F.col("befores") * F.col("afters")
-    lost = F.sum(pairs * (F.col("unitsstab2007") - F.col("uc2018")))
-    return paired.groupBy("geoid").agg(
+    upto = W.partitionBy("ucbbl", "geoid").orderBy("units").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = values.withColumns(
+        {"pairs": F.sum("a").over(upto), "kept": F.sum(F.col("a") * F.col("units")).over(upto)}
+    ).filter("b > 0 AND pairs > 0")
+    lost = F.sum(F.col("b") * (F.col("pairs") * F.col("units") - F.col("kept")))
+    return summed.groupBy("geoid").agg(
         lost.cast("double").alias("dereg_units"),
-        ratio(lost, F.sum(pairs * F.col("unitsstab2007"))).alias("dereg_pct"),
+        ratio(lost, F.sum(F.col("b") * F.col("pairs") * F.col("units"))).alias("dereg_pct"),
     )

@@ -113,6 +113,8 @@ def attach_area(records: DataFrame, blocks: DataFrame, block: Column) -> DataFra
     """Add ``geoid`` to each record on a mapped block and drop the others.
 
     ``blocks`` comes from :func:`block_areas`. Every caller joins on the same
-    integer key, so one broadcast serves all record tables of a plan.
+    integer key, so one broadcast serves all record tables of a plan. No area
+    is NULL; saying so keeps plans equal where a later join says it.
     """
-    return records.withColumn("block_id", block).join(blocks, "block_id").drop("block_id")
+    located = records.withColumn("block_id", block).join(blocks, "block_id").drop("block_id")
+    return located.filter(F.col("geoid").isNotNull())

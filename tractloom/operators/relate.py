@@ -39,18 +39,39 @@ def anti_chain(frame: DataFrame, others: Sequence[DataFrame], key: str = "uid")
     return reduce(lambda kept, other: kept.join(other.select(key).distinct(), key, "left_anti"), others, frame)
 
 
+#: A key is popular if it has at least this share of the rows; the sketch keeps so many candidates a task.
+POPULAR_SHARE = 0.01
+TRACKED = 2000
+
+
+def popular_keys(rows: DataFrame, key: str, share: float = POPULAR_SHARE) -> Column:
+    """The keys that hold at least a share of the rows, as an array of at most ``1 / share`` values.
+
+    Every task keeps a frequency sketch of fixed size; only sketches move. Counts are upper bounds, off by a share
+    of rows far below the wanted one.
+    """
+    most = int(1 / share)
+    top = F.expr(f"approx_top_k(`{key}`, {most}, {TRACKED})")
+    counted = rows.filter(F.col(f"`{key}`").isNotNull()).agg(top.alias("top"), F.count("*").alias("n"))
+    wanted = F.filter("top", lambda t: t["count"] >= F.col("n") * share)
+    return counted.select(F.transform(wanted, lambda t: t["item"])).scalar()
+
+
 def spread_left_join(
-    rows: DataFrame, table: DataFrame, key: str, by: str, spread: int = 4
+    rows: DataFrame, table: DataFrame, key: str, by: str, spread: int = 4, share: float = POPULAR_SHARE
 ) -> DataFrame:
     """Left join to a table with one row per key, when very many rows may share a key.
 
-    The rows of a key are split into ``spread`` parts by another column, and
-    the table is repeated for each part. A popular key so becomes several
-    tasks, and because both sides are then exchanged for this join, adaptive
-    execution can split what is still too large.
+    Rows of a popular key are split into ``spread`` parts by another column, and the table's row is repeated for each
+    part; all other keys have one part and one row. A popular key so becomes several tasks, and because both sides
+    are then exchanged for this join, adaptive execution can split what is still too large.
     """
-    parts = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(spread)).cast("int"))
-    copies = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    popular = popular_keys(rows, key, share)
+    at = F.col(f"`{key}`")
+    split = F.pmod(F.xxhash64(by), F.lit(spread)).cast("int")
+    parts = rows.withColumn("part", F.when(F.array_contains(popular, at), split).otherwise(0))
+    every = F.when(F.array_contains(popular, at), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    copies = table.withColumn("part", F.explode(every))
     return parts.join(copies, [key, "part"], "left").drop("part")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tractloom.fixed_values import TOTALS_GROUP
@@ -31,18 +32,29 @@ def _present(table: DataFrame, *columns: str) -> list[str]:
 def choropleth(table: DataFrame, variable: str, reverse: bool = False) -> DataFrame:
     """Every area's value and its position 0..1 on the colour scale, with its shape if there is one.
 
-    Only the columns shown are computed, and the domain is read once.
+    Only the columns shown are computed, and the table is computed once: the domain comes from the cells themselves.
     """
-    shown = table.select(*_present(table, "geoid", "geometry"), F.col(quoted(variable)).alias("value"))
-    domain = shown.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high"))).scalar()
-    bound = shown.withColumn("domain", domain)
-    value, low, high = F.col("value"), F.col("domain.low"), F.col("domain.high")
-    return bound.select(
+    layer = choropleth_layers(table.select(*_present(table, "geoid", "geometry"), quoted(variable)), reverse)
+    return layer.drop("name")
+
+
+def choropleth_layers(table: DataFrame, reverse: bool = False) -> DataFrame:
+    """The layers of all indicators at once: a row per area and indicator, with the position on its own scale.
+
+    The table is read once. Its cells meet the low and high of their indicator where they are sorted by indicator; an
+    indicator has one cell per area, so no task gets more rows than there are areas.
+    """
+    kept = _present(table, "geoid", "geometry")
+    cells = unpivot_keeping_nulls(table, keys=kept)
+    value, layer = F.col("value"), W.partitionBy("name")
+    low, high = F.min(value).over(layer), F.max(value).over(layer)
+    return cells.select(
+        "name",
         "geoid",
         "value",
         scale_position(value, low, high, reverse).alias("pos"),
         value.isNull().alias("is_missing"),
-        *_present(table, "geometry"),
+        *[c for c in kept if c != "geoid"],
     )
 
 

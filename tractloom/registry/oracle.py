@@ -320,6 +320,11 @@ ORACLE_SQL = {
     ),
     "choropleth_scale": _scale("{0}"),
     "choropleth_reversed": _scale("1 - {0}"),
+    "choropleth_layers": _with(
+        """SELECT name, geoid, value, CASE WHEN value IS NULL THEN NULL WHEN low = high THEN 0.5
+          ELSE (value - low) / (high - low) END AS pos, value IS NULL AS is_missing
+        FROM cells JOIN (SELECT name, min(value) AS low, max(value) AS high FROM cells GROUP BY name) USING (name)"""
+    ),
     "choropleth_legend": _with(
         "SELECT DISTINCT marsh_evic_num AS value FROM wide WHERE marsh_evic_num IS NOT NULL"
     ),

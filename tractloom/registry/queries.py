@@ -289,6 +289,11 @@ def choropleth_reversed(spark: SparkSession, folder: str) -> DataFrame:
     return map_views.choropleth(area_indicators(spark, folder), "marsh_evic_num", reverse=True)
 
 
+@query
+def choropleth_layers(spark: SparkSession, folder: str) -> DataFrame:
+    return map_views.choropleth_layers(area_indicators(spark, folder))
+
+
 @query
 def choropleth_legend(spark: SparkSession, folder: str) -> DataFrame:
     return map_views.choropleth_legend(area_indicators(spark, folder), "marsh_evic_num")

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,7 +78,9 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """Hand-made coordinates with their position in the file; none if there is no file.
 
     ``line`` orders rows by the age and name of their file and their place in
-    it, so that "first" means the same as for someone reading the files.
+    it, so that "first" means the same as for someone reading the files. Files
+    are ranked once, from their listing; a line is then one whole number: the
+    rank of its file, where its split begins, and its place among the rows.
     """
     try:
         lines = read_csv(spark, path, schemas.OVERRIDES)
@@ -85,16 +88,30 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame(
-            [], "line STRUCT<age: TIMESTAMP, file: STRING, start: BIGINT, row: BIGINT>, uid STRING, "
-            "latitude DOUBLE, longitude DOUBLE"
+            [], "line DECIMAL(38, 0), uid STRING, latitude DOUBLE, longitude DOUBLE"
         )
-    line = F.struct(
-        F.col("_metadata.file_modification_time").alias("age"),
+    placed = lines.select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
+        F.col("_metadata.file_block_start").cast("decimal(15,0)").alias("start"),
+        F.monotonically_increasing_id().cast("decimal(19,0)").alias("row"),
+        "uid",
+        "latitude",
+        "longitude",
     )
-    return lines.select(line.alias("line"), "uid", "latitude", "longitude")
+    # A row per file, without reading one.
+    ranked = placed.join(F.broadcast(file_ranks(spark, path)), "file")
+    tens = lambda n: F.lit("1" + "0" * n).cast(f"decimal({n + 1},0)")
+    # 5 digits, as many files as a listing may have; 14 for the start, 100 TB; 19 for the place.
+    line = F.col("rank").cast("decimal(5,0)") * tens(33) + F.col("start") * tens(19) + F.col("row")
+    return ranked.select(line.cast("decimal(38,0)").alias("line"), "uid", "latitude", "longitude")
+
+
+def file_ranks(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a folder and their rank by age, then name."""
+    listed = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("age")
+    )
+    return listed.select("file", F.row_number().over(W.orderBy("age", "file")).alias("rank"))
 
 
 #: Row numbers that no count reads.
