@@ -465,3 +465,62 @@ def test_clean_texts_are_kept_and_junk_is_not(spark):
     rows += [(1000 + i, " ".join(word() + "###" for _ in range(50)), "en", "s", 0) for i in range(10)]
     kept = {r.doc_id for r in quality.kept_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert kept == set(range(300))
+
+
+def test_each_rate_rejects_by_its_group_s_quantiles(spark):
+    """One document for each rate, far below any cutoff that would be the same for all groups."""
+    rng = random.Random(9)
+
+    def text(letters, low, high, n=200, sign=""):
+        return "\n".join(
+            " ".join("".join(rng.choices(letters, k=rng.randint(low, high))) + (sign if k % 25 == 0 else "") for k in range(20))
+            for _ in range(n // 20)
+        )
+
+    rows = [(i, text("etaoinshr", 2, 8), "en", "short", 0) for i in range(400)]
+    rows += [(1000 + i, text("etaoinshr", 9, 15, sign="#*"), "en", "long", 0) for i in range(400)]
+    twice = text("etaoinshr", 2, 8)
+    lines = twice.split("\n")
+    planted = {
+        "symbols": text("etaoinshr", 2, 8, sign="##"),
+        "longer words": text("etaoinshr", 5, 9),
+        "shorter words": text("etaoinshr", 1, 4),
+        "lines": "\n".join([*lines, "a b", "a b", "a b", "a b"]),
+        "words": " ".join([*twice.split(), *twice.split()[:12], *twice.split()[:12]]),
+    }
+    rows += [(5000 + i, t, "en", "short", 0) for i, t in enumerate(planted.values())]
+    # The same texts are nothing unusual in the other group, but for the short words.
+    rows += [(6000, planted["symbols"], "en", "long", 0), (7000, text("etaoinshr", 9, 15), "en", "short", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id: r for r in quality.quality_verdicts(docs).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert max(found[5000].symbol_rate, found[5004].repeat_rate) < 0.2 and found[5003].dup_line_rate < 0.3
+    assert abs(found[5001].word_length - 5) < 3 and abs(found[5002].word_length - 5) < 3
+    assert [found[5000 + i].kept for i in range(len(planted))] == [False] * len(planted)
+    assert not found[6000].kept and not found[7000].kept
+    clean = [r for i, r in found.items() if i < 5000]
+    assert sum(r.kept for r in clean) >= 0.99 * len(clean)
+    limits = {r.f_source: r for r in quality.fences(quality_input(docs)).collect()}
+    assert limits["short"].word_length_high < limits["long"].word_length_low
+    assert limits["short"].symbol_rate_high == 0 < limits["long"].symbol_rate_high
+
+
+def quality_input(docs):
+    counts = quality.quality_verdicts(docs).withColumn("n_lines", F.size(F.split("text", "\n")))
+    return counts.select("lang", "source", "n_lines", *quality.COUNTS, "base_failed")
+
+
+def test_sketches_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(10)
+    rows = [("en", "s", 1, rng.randint(1, 10**6), rng.randint(1, 10**9), 0, 0, 0, False) for _ in range(20_000)]
+    schema = "lang string, source string, n_lines int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    results = set()
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        results.add(tuple(quality.fences(spark.createDataFrame(rows, schema).repartition(parts)).first()))
+    assert len(results) == 1
+    exact = sorted(r[4] * quality.UNIT // r[3] for r in rows)
+    low, middle, high = (exact[(len(exact) * p + 99) // 100 - 1] for p in (10, 50, 90))
+    limit = quality.fences(spark.createDataFrame(rows, schema)).first()
+    assert abs(limit.word_length_high - (high + 3 * (high - middle))) <= 0.04 * limit.word_length_high
+    assert quality.sketches(spark.createDataFrame(rows, schema)).count() < 4000

@@ -209,18 +209,28 @@ _SYMBOLS = "[" + "".join("\\" + c for c in quality.SYMBOLS) + "]"
 _WIN = quality.WINDOW
 
 
-def _fences(group: str) -> str:
-    return ", ".join(f"quantile_disc({r}, [0.25, 0.75]) AS {r}" for r in quality.RATES)
+def _points(keys: str) -> str:
+    """Documents and, for each rate, the buckets at the percentiles, of each group."""
+    lists, points = [], []
+    for rate, (counted, per, _, _) in quality.RATES.items():
+        units = f"CAST({counted} * {quality.UNIT} // greatest({per}, 1) AS BIGINT)"
+        extra = f"greatest(length(bin({units})) - {quality.BITS}, 0)"
+        lists.append(f"list_sort(list(({units} >> {extra}) << {extra})) AS {rate}")
+        at = [f"{rate}[(n * {p} + 99) // 100]" for p in (quality.LOW, quality.MIDDLE, quality.HIGH)]
+        points.append(f"[{', '.join(at)}] AS {rate}")
+    group = f"GROUP BY {keys.rstrip(', ')}" if keys else ""
+    inner = f"SELECT {keys} count(*) AS n, {', '.join(lists)} FROM rated WHERE NOT base_failed {group}"
+    return f"SELECT {keys} n, {', '.join(points)} FROM ({inner})"
 
 
 def _inside() -> str:
     tests = []
-    for rate, (slack, both) in quality.RATES.items():
+    for rate, (counted, per, chance, both) in quality.RATES.items():
         q = f"(CASE WHEN g.n >= {quality.MIN_GROUP} THEN g.{rate} WHEN l.n >= {quality.MIN_GROUP} THEN l.{rate} ELSE c.{rate} END)"
-        margin = f"greatest(CAST({quality.REACH} AS DOUBLE) * ({q}[2] - {q}[1]), CAST({slack} AS DOUBLE))"
-        tests.append(f"r.{rate} <= {q}[2] + {margin}")
+        units, more = f"r.{counted} * {quality.UNIT}", chance * quality.UNIT
+        tests.append(f"{units} <= ({q}[3] + {quality.REACH} * ({q}[3] - {q}[2])) * r.{per} + {more}")
         if both:
-            tests.append(f"r.{rate} >= {q}[1] - {margin}")
+            tests.append(f"{units} >= ({q}[1] - {quality.REACH} * ({q}[2] - {q}[1])) * r.{per} - {more}")
     return " AND ".join(tests)
 
 
@@ -249,17 +259,12 @@ counts AS (
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id
 ),
 rated AS (
-  SELECT *, n_symbols / CAST(greatest(n_words, 1) AS DOUBLE) AS symbol_rate,
-         word_chars / CAST(greatest(n_words, 1) AS DOUBLE) AS word_length,
-         n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE) AS dup_line_rate,
-         n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE) AS repeat_rate,
-         n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed
   FROM counts
 ),
-worded AS (SELECT * FROM rated WHERE n_words > 0),
-g AS (SELECT lang, source, count(*) AS n, {_fences('')} FROM worded GROUP BY lang, source),
-l AS (SELECT lang, count(*) AS n, {_fences('')} FROM worded GROUP BY lang),
-c AS (SELECT {_fences('')} FROM worded)
+g AS ({_points('lang, source,')}),
+l AS ({_points('lang,')}),
+c AS ({_points('')})
 SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
        NOT r.base_failed AND coalesce({_inside()}, false) AS kept
 FROM rated r

@@ -1,7 +1,13 @@
 """Quality rules whose thresholds come from the corpus: one set per language and source.
 
-Every document gets counts; quantile sketches of the derived rates are merged per (language, source), per language
-and over all; fences around the middle half of a group then replace fixed cutoffs.
+Every document gets counts. For each rate a group's quantile sketch counts documents by bucket: whole numbers whose
+leading eight bits are kept, so a quantile is off by less than one in a hundred, sketches merge by adding counts, and
+no order of the rows changes them. Sketches are made per (language, source) and added up per language and over all.
+A rate's fence lies as many times the distance from the median to the upper tenth beyond that tenth as REACH says, and
+for lengths of words likewise below; nothing else decides but what short documents may have by chance, a few symbols,
+characters, lines or words. Documents that fail the base rules are in no sketch.
+
+Texts of any length are read whole, each within its own row.
 
 Nulls and odd input: a null text has no words and fails; null languages or sources are a group like any other; empty
 tables give empty results; repeated rows are judged alike, each on its own row.
@@ -12,6 +18,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tractloom.llm.common import SPACES, col, settle, unpacked, whole, words
@@ -21,18 +28,20 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Sketch size: up to this many values a sketch is exact.
-SKETCH_K = 1024
+#: Rates are whole numbers of one over UNIT; sketches keep their leading BITS bits.
+UNIT = 10_000
+BITS = 8
 #: Groups with fewer documents take the thresholds of their language, then of the corpus.
 MIN_GROUP = 200
-#: Fences lie this many times the middle half's width beyond it, and at least the slack.
-REACH = 3.0
-#: rate: (slack, whether low values are refused too)
+#: Percentiles of a sketch, and how many times the outer distance a fence lies beyond the outer one.
+LOW, MIDDLE, HIGH = 10, 50, 90
+REACH = 3
+#: rate: (counted, per, what a short document may have by chance, whether low values are refused too)
 RATES = {
-    "symbol_rate": (0.25, False),
-    "word_length": (3.0, True),
-    "dup_line_rate": (0.5, False),
-    "repeat_rate": (0.2, False),
+    "symbol_rate": ("n_symbols", "n_words", 3, False),
+    "word_length": ("word_chars", "n_words", 20, True),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 2 * WINDOW, False),
 }
 #: Thresholds of up to so many groups are copied to every task; more are joined by a salted shuffle.
 BROADCAST_GROUPS = 100_000
@@ -100,59 +109,75 @@ def base_failed() -> Column:
 
 
 def _rates() -> list[Column]:
-    some = F.greatest("n_words", F.lit(1)).cast("double")
     return [
-        (F.col("n_symbols") / some).alias("symbol_rate"),
-        (F.col("word_chars") / some).alias("word_length"),
-        (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)).cast("double")).alias("dup_line_rate"),
-        (F.col("n_repeat_words") / some).alias("repeat_rate"),
+        (F.col(counted_) / F.greatest(F.col(per), F.lit(1)).cast("double")).alias(rate)
+        for rate, (counted_, per, _, _) in RATES.items()
+    ]
+
+
+def _bucket(counted_: str, per: str) -> Column:
+    """The rate in UNITs with all but its leading bits cleared."""
+    units = F.call_function("div", F.col(counted_) * UNIT, F.greatest(F.col(per), F.lit(1)).cast("long"))
+    extra = F.greatest(F.length(F.bin(units)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", units, extra), extra)
+
+
+def sketches(rated: DataFrame) -> DataFrame:
+    """(lang, source, rate, bucket, n): documents of each group by bucket, counted in the tasks before they move."""
+    entries = [
+        F.struct(F.lit(i).alias("rate"), _bucket(counted_, per).alias("bucket"))
+        for i, (counted_, per, _, _) in enumerate(RATES.values())
     ]
+    each = rated.filter("NOT base_failed").select("lang", "source", F.inline(F.array(*entries)))
+    return each.groupBy("lang", "source", "rate", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _percentiles(counts: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """For each group its documents and, for each rate, the buckets at the three percentiles."""
+    merged = counts.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    group = W.partitionBy(*keys, "rate")
+    upto = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = merged.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(group)})
+    at = [
+        F.min(F.when((F.col("rate") == i) & (F.col("upto") * 100 >= F.col("all") * p), F.col("bucket"))).alias(str(p))
+        for i in range(len(RATES))
+        for p in (LOW, MIDDLE, HIGH)
+    ]
+    points = [F.struct(*at[3 * i : 3 * i + 3]).alias(prefix + rate) for i, rate in enumerate(RATES)]
+    return ranked.groupBy(*keys).agg(F.max("all").alias(f"{prefix}n"), *points)
 
 
 def fences(rated: DataFrame) -> DataFrame:
-    """Low and high fence of every rate for each (lang, source) that occurs.
+    """Low and high fence of every rate, in UNITs, for each (lang, source) that occurs.
 
-    Sketches are built per (lang, source) with map-side combining, then merged upwards: groups too small to have a
-    spread of their own use what their language or the corpus says.
+    Groups too small to have a spread of their own use what their language or the corpus says.
     """
-    fine = rated.filter("n_words > 0").groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATES],
+    counts = settle(sketches(rated), "sketches")
+    groups = settle(rated.select("lang", "source").distinct(), "groups")
+    fine = _percentiles(counts, ["lang", "source"], "g_").withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
+    language = _percentiles(counts, ["lang"], "l_").withColumnRenamed("lang", "l_lang")
+    corpus = _percentiles(counts, [], "c_").select(F.struct(*[f"c_{r}" for r in RATES])).scalar()
+    joined = (
+        groups.join(fine, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+        .join(language, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
+        .withColumn("corpus", corpus)
     )
-    fine = settle(fine, "sketches")
-
-    def merged(keys: list[str], prefix: str) -> DataFrame:
-        return fine.groupBy(*keys).agg(
-            F.sum("n").alias(f"{prefix}n"),
-            *[F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(f"{prefix}{r}") for r in RATES],
-        )
-
-    language = merged(["lang"], "l_").withColumnRenamed("lang", "l_lang")
-    corpus = merged([], "c_").select(F.struct(*[f"c_{r}" for r in RATES]))
-    joined = fine.join(language, F.col("lang").eqNullSafe(F.col("l_lang"))).withColumn("corpus", corpus.scalar())
 
     def chosen(r: str) -> Column:
         return (
-            F.when(F.col("n") >= MIN_GROUP, F.col(r))
+            F.when(F.col("g_n") >= MIN_GROUP, F.col(f"g_{r}"))
             .when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{r}"))
             .otherwise(F.col(f"corpus.c_{r}"))
         )
 
-    def quantile(sketch: Column, rank: float) -> Column:
-        return F.kll_sketch_get_quantile_double(sketch, F.lit(rank))
-
-    picked = joined.select("lang", "source", *[chosen(r).alias(r) for r in RATES])
-    return picked.select(
-        F.col("lang").alias("f_lang"),
-        F.col("source").alias("f_source"),
-        *[
-            bound
-            for r, (slack, _) in RATES.items()
-            for low, high in [(quantile(F.col(r), 0.25), quantile(F.col(r), 0.75))]
-            for margin in [F.greatest(F.lit(REACH) * (high - low), F.lit(slack))]
-            for bound in [(low - margin).alias(f"{r}_low"), (high + margin).alias(f"{r}_high")]
-        ],
-    )
+    bounds = []
+    for r in RATES:
+        low, middle, high = (chosen(r)[str(p)] for p in (LOW, MIDDLE, HIGH))
+        bounds += [
+            (low - REACH * (middle - low)).alias(f"{r}_low"),
+            (high + REACH * (high - middle)).alias(f"{r}_high"),
+        ]
+    return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *bounds)
 
 
 def with_fences(rated: DataFrame, limits: DataFrame, most: int = BROADCAST_GROUPS) -> DataFrame:
@@ -191,11 +216,12 @@ def quality_verdicts(
         "quality",
     )
     judged = with_fences(rated, fences(rated), most)
-    inside = [
-        F.coalesce(F.col(r) <= F.col(f"{r}_high"), F.lit(False))
-        & (F.coalesce(F.col(r) >= F.col(f"{r}_low"), F.lit(False)) if both else F.lit(True))
-        for r, (_, both) in RATES.items()
-    ]
+    inside = []
+    for r, (counted_, per, chance, both) in RATES.items():
+        units, base = F.col(counted_) * UNIT, F.col(per).cast("long")
+        inside.append(F.coalesce(units <= F.col(f"{r}_high") * base + chance * UNIT, F.lit(False)))
+        if both:
+            inside.append(F.coalesce(units >= F.col(f"{r}_low") * base - chance * UNIT, F.lit(False)))
     verdict = judged.withColumn("kept", ~F.col("base_failed") & reduce(Column.__and__, inside))
     return unpacked(verdict, "doc", names, [*COUNTS, *RATES, "base_failed", "kept"])
 
