@@ -1,10 +1,13 @@
 """Secrets in text, and credentials whose parts only count together.
 
 Assignments, access ids and long hexadecimal runs are reported wherever they stand. Weak candidates (account names,
-random-looking tokens, addresses of services) are reported only next to their complements: parts of one scope, a
-stretch of text without a blank line, are joined where their intervals, widened by `REACH` code points, overlap.
-Scopes never cross documents, so the join needs no shuffle; it sweeps the parts in order and looks up the nearest
-complement on either side instead of pairing everything with everything.
+random-looking tokens, addresses of services) are reported only together with their complements. A scope is a stretch
+of text without a blank line; parts are joined with the scope whose interval holds them, however long it is, and a part
+counts if its complement lies in the same scope: an identifier needs a key, a key an identifier, an address both.
+Scopes never cross documents, so the join needs no shuffle; each part finds its scope by bisection, and no part is
+paired with another.
+
+Texts are scanned whole, whatever their length, in time that grows with their length and the number of parts.
 
 Nulls and odd input: a null or empty text has no spans; other columns pass through untouched; repeated rows are
 scanned alike; an empty table stays empty.
@@ -25,7 +28,6 @@ from tractloom.llm.common import unpacked, whole
 #: Kinds in the order in which spans with one start are listed; the first three are always reported.
 KINDS = ("assign", "access", "hex", "account", "key", "endpoint")
 BASE = KINDS[:3]
-REACH = 200
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I
@@ -64,24 +66,25 @@ def _random_looking(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token)
 
 
-class Parts:
-    """Intervals of one role in one scope, for looking up whether any lies within reach of another interval."""
+def _overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether any of the sorted, disjoint spans shares a character with another one."""
+    k = bisect_left(spans, (end, end))
+    return k > 0 and spans[k - 1][1] > start
 
-    def __init__(self, spans: list[tuple[int, int]]) -> None:
-        spans = sorted(spans)
-        self.starts = [s for s, _ in spans]
-        self.ends, furthest = [], -1
-        for _, e in spans:
-            furthest = max(furthest, e)
-            self.ends.append(furthest)
 
-    def near(self, start: int, end: int, reach: int) -> bool:
-        k = bisect_left(self.starts, end + reach + 1)  # those that begin early enough; does any end late enough?
-        return k > 0 and self.ends[k - 1] >= start - reach
+def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans; those that overlap become one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
-def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
-    """Weak candidates with a complement in reach within their scope."""
+def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Weak candidates with a complement in their scope."""
     accounts = []
     low = text.lower()
     if any(h in low for h in ACCOUNT_HINTS):
@@ -90,10 +93,8 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH
     strong_keys = [(s, e) for s, k, e in base if k != 1]
     if not accounts and not strong_ids:
         return []  # every link has an identifier on one side
-    taken = Parts([(s, e) for s, _, e in base])
-    keys = [
-        m.span() for m in KEY.finditer(text) if _random_looking(m[0]) and not taken.near(m.start() + 1, m.end() - 1, 0)
-    ]
+    taken = _disjoint([(s, e) for s, _, e in base])
+    keys = [m.span() for m in KEY.finditer(text) if _random_looking(m[0]) and not _overlaps(taken, *m.span())]
     if not keys and not strong_keys:
         return []
     endpoints = [m.span() for m in ENDPOINT.finditer(text)]
@@ -104,10 +105,10 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH
             scopes.setdefault(bisect_left(cuts, s + 1), ([], [], [], [], []))[role].append((s, e))
     found = []
     for weak_ids, ids, weak_keys, sure_keys, places in scopes.values():
-        any_id, any_key = Parts(weak_ids + ids), Parts(weak_keys + sure_keys)
-        found += [(s, 3, e) for s, e in weak_ids if any_key.near(s, e, reach)]
-        found += [(s, 4, e) for s, e in weak_keys if any_id.near(s, e, reach)]
-        found += [(s, 5, e) for s, e in places if any_id.near(s, e, reach) and any_key.near(s, e, reach)]
+        any_id, any_key = bool(weak_ids or ids), bool(weak_keys or sure_keys)
+        found += [(s, 3, e) for s, e in weak_ids if any_key]
+        found += [(s, 4, e) for s, e in weak_keys if any_id]
+        found += [(s, 5, e) for s, e in places if any_id and any_key]
     return found
 
 
