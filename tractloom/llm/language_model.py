@@ -19,6 +19,7 @@ out; repeated rows are scored alike; without training documents all counts are 0
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -41,12 +42,14 @@ LANES = 512
 RATE = 0.01
 CLIP = 1.0
 SEED = 11
-#: Words whose counts are copied to the tasks.
+#: Steps of a window where nothing is learnt: they change no score.
+SCORING_STEPS = 64
+#: Words whose counts are copied to the tasks, and the bytes of the longest of them; all others are joined.
 FREQUENT = 500_000
+FREQUENT_BYTES = 64
 #: Eighths of the training documents in each round.
 ROUNDS = (1, 3, 4)
 PIECES = 16
-SALTS = 32
 
 END, UNKNOWN = 0, 1
 _NAMES = ("wx", "u", "bn", "wc", "bc", "ww", "bw")
@@ -86,22 +89,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _recur(m: dict, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, list]:
-    """States after each step (steps, lanes, h), and what the way back needs. fresh: where a text begins."""
+def _recur(
+    m: dict, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, learn: bool
+) -> tuple[np.ndarray, list]:
+    """States after each step (steps, lanes, h); if learning, what the way back needs. fresh: where a text begins."""
     h = HIDDEN
     out = np.empty((*inputs.shape, h), np.float32)
     kept = []
-    wx, u, bn = m["wx"], m["u"], m["bn"]
+    u, bn = m["u"], m["bn"]
+    from_words, goes_on = m["wx"][inputs], ~fresh[:, :, None]
     for t in range(len(inputs)):
-        before = state * ~fresh[t][:, None]
-        from_word, from_state = wx[inputs[t]], before @ u
+        before = state * goes_on[t]
+        from_word, from_state = from_words[t], before @ u
         gates = _sigmoid(from_word[:, : 2 * h] + from_state[:, : 2 * h])
-        inner = from_state[:, 2 * h :] + bn
+        inner = from_state[:, 2 * h :]
+        inner += bn
         z, r = gates[:, :h], gates[:, h:]
         n = np.tanh(from_word[:, 2 * h :] + r * inner)
-        state = n + z * (before - n)
-        out[t] = state
-        kept.append((before, z, r, n, inner))
+        state = out[t]
+        np.subtract(before, n, out=state)
+        state *= z
+        state += n
+        if learn:
+            kept.append((before, z, r, n, inner))
     return out, kept
 
 
@@ -183,14 +193,15 @@ class Lanes:
     """Texts laid end to end in lanes of about the same length; windows of steps over all of them.
 
     Texts go to the shortest lane, the longest first, and are then shuffled within their lane, so that long texts
-    don't all come at once.
+    don't all come at once. Lanes lie one behind the other without padding, and a window is cut out of them when it is
+    due, so one very long text takes no more than its own tokens.
     """
 
     def __init__(self, texts: list[np.ndarray], most: int = LANES) -> None:
         sizes = np.array([len(t) for t in texts])
-        width = int(max(1, min(most, len(texts), max(32, sizes.sum() // 2048))))
-        heap = [(0, lane) for lane in range(width)]
-        lanes: list[list[int]] = [[] for _ in range(width)]
+        self.width = int(max(1, min(most, len(texts), max(32, sizes.sum() // 2048))))
+        heap = [(0, lane) for lane in range(self.width)]
+        lanes: list[list[int]] = [[] for _ in range(self.width)]
         for i in np.argsort(-sizes, kind="stable"):
             load, lane = heapq.heappop(heap)
             lanes[lane].append(int(i))
@@ -200,44 +211,41 @@ class Lanes:
         for own in lanes:
             shuffle.shuffle(own)
         self.loads = np.array([sizes[own].sum() for own in lanes])
-        steps = int(self.loads[0])
-        self.targets = np.full((steps, width), -1, np.int16)
-        self.inputs = np.zeros((steps, width), np.int16)
-        self.fresh = np.zeros((steps, width), bool)
-        self.text = np.zeros((steps, width), np.int32)
-        for lane, own in enumerate(lanes):
-            at = 0
-            for i in own:
-                end = at + len(texts[i])
-                self.targets[at:end, lane] = texts[i]
-                self.inputs[at + 1 : end, lane] = texts[i][:-1]
-                self.inputs[at, lane] = END
-                self.fresh[at, lane] = True
-                self.text[at:end, lane] = i
-                at = end
-
-    def windows(self) -> Iterator[tuple[slice, int]]:
-        for at in range(0, len(self.targets), STEPS):
-            yield slice(at, at + STEPS), int((self.loads > at).sum())
+        self.begins = np.concatenate([[0], np.cumsum(self.loads)[:-1]])
+        order = [i for own in lanes for i in own]
+        self.targets = np.concatenate([texts[i] for i in order]).astype(np.int16)
+        self.text = np.repeat(np.array(order, np.int32), sizes[order])
+        firsts = np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
+        self.fresh = np.zeros(len(self.targets), bool)
+        self.fresh[firsts] = True
+        self.inputs = np.concatenate([[END], self.targets[:-1]]).astype(np.int16)
+        self.inputs[firsts] = END
+
+    def windows(self, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the tokens (steps, active lanes), and which of them are within their lane."""
+        for at in range(0, int(self.loads[0]), steps):
+            active = int((self.loads > at).sum())
+            rows = at + np.arange(min(steps, int(self.loads[0]) - at))[:, None]
+            real = rows < self.loads[:active]
+            yield np.where(real, self.begins[:active] + rows, 0), real
 
 
 def _run(m: dict, lanes: Lanes, learn) -> np.ndarray:  # noqa: ANN001
     """Log probability of every text; `learn`, if given, takes each window's slopes."""
     sums = np.zeros(int(lanes.text.max()) + 1 if lanes.text.size else 0)
-    state = np.zeros((lanes.targets.shape[1], HIDDEN), np.float32)
-    for steps, active in lanes.windows():
-        targets, inputs = lanes.targets[steps, :active], lanes.inputs[steps, :active]
-        fresh = lanes.fresh[steps, :active]
-        states, kept = _recur(m, inputs, fresh, state[:active])
+    state = np.zeros((lanes.width, HIDDEN), np.float32)
+    for places, real in lanes.windows(STEPS if learn else SCORING_STEPS):
+        inputs, fresh = lanes.inputs[places], lanes.fresh[places]
+        states, kept = _recur(m, inputs, fresh, state[: places.shape[1]], learn is not None)
         state = states[-1]
-        real = targets >= 0
-        found, slopes, back = _outputs(m, states[real], targets[real], learn is not None)
-        sums += np.bincount(lanes.text[steps, :active][real], found, len(sums))
+        own = places[real]
+        found, slopes, back = _outputs(m, states[real], lanes.targets[own], learn is not None)
+        sums += np.bincount(lanes.text[own], found, len(sums))
         if learn:
             outer = np.zeros_like(states)
             outer[real] = back
             slopes |= _backward(m, inputs, fresh, kept, outer)
-            learn(slopes, int(real.sum()), lanes.targets.shape[1] * STEPS)
+            learn(slopes, len(own), lanes.width * STEPS)
     return sums
 
 
@@ -296,15 +304,16 @@ def word_counts(bodies: DataFrame) -> DataFrame:
 def frequent_words(counts: DataFrame, most: int | None = None) -> tuple[bytes, np.ndarray]:
     """Words, blanks between them, and their counts, most frequent first, equally frequent ones by their bytes.
 
-    At most FREQUENT: all words from some count on, found from how many words have each count.
+    At most FREQUENT of FREQUENT_BYTES: all such words from some count on, found from how many words have each count.
     """
     most = FREQUENT if most is None else most
-    by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words"))
+    short = counts.filter(F.length("word") <= FREQUENT_BYTES)
+    by_count = short.groupBy("c").agg(F.count(F.lit(1)).alias("words"))
     upto = F.sum("words").over(W.orderBy(F.desc("c")).rowsBetween(W.unboundedPreceding, W.currentRow))
     least = by_count.withColumn("upto", upto).filter(F.col("upto") <= most).agg(F.min("c")).first()[0]
     if least is None:
         return b"", np.empty(0, np.int64)
-    top = counts.filter(F.col("c") >= least).toArrow()
+    top = short.filter(F.col("c") >= least).toArrow()
     words, times = top["word"].to_pylist(), top["c"].to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-times[i], words[i]))
     return b" ".join([words[i] for i in order]), times[order]
@@ -360,8 +369,10 @@ def trained_round(bodies: DataFrame, words: bytes, model: np.ndarray) -> np.ndar
 
     kind = "piece int, n long, sums binary"
     rows = bodies.mapInPandas(train, kind)
-    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    partial = salted.repartition(SALTS, "piece", "salt").select("piece", "n", "sums").mapInPandas(add, kind)
+    # Two levels of sums, each over about the square root of the number of models.
+    salts = max(2, math.isqrt(bodies.rdd.getNumPartitions()))
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    partial = salted.repartition(salts, "piece", "salt").select("piece", "n", "sums").mapInPandas(add, kind)
     got = partial.repartition(PIECES, "piece").mapInPandas(add, kind).orderBy("piece").collect()
     if not got:
         return model
