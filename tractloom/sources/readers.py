@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import pairwise
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractloom.fixed_values import INDICATORS
+from tractloom.operators.projection import quoted
 from tractloom.operators.reshape import survey_slice
 from tractloom.plans.area_table import AreaSources
 from tractloom.sources import schemas
@@ -69,6 +71,16 @@ def read_survey(
     return typed(cells, schemas.SURVEY, path)
 
 
+def read_shapes(spark: SparkSession, path: str, srid: int = 0) -> DataFrame:
+    """Shapes of areas from parquet files with ``geoid`` and ``wkb``, as Spark's GEOMETRY type.
+
+    They go into ``AreaSources(shapes=...)`` and reach map layers as the column ``geometry``. The type needs a session
+    with ``spark.sql.geospatial.enabled``; Spark says so where it is off.
+    """
+    stored = typed(spark.read.parquet(path), schemas.SHAPES, path)
+    return stored.select("geoid", F.st_setsrid(F.st_geomfromwkb("wkb"), srid).alias("geometry"))
+
+
 def read_address_reference(spark: SparkSession, path: str) -> DataFrame:
     """Known addresses with coordinates, for :func:`tractloom.resolve_cascade`."""
     return read_csv(spark, path, schemas.ADDRESS_REFERENCE)
@@ -153,25 +165,47 @@ def jdbc_options(table: str, split: tuple[str, object, object, int] | None = Non
     return options
 
 
+def equal_splits(keys: DataFrame, column: str, parts: int) -> list[str]:
+    """Conditions that divide a table into parts of about equal numbers of rows, however its key is spread.
+
+    The bounds are quantiles of the key in ``keys``, a copy or a sample of the table, from a sketch that the tasks
+    build and merge. Every row meets exactly one condition, NULL keys the first. A key whose rows exceed a part's share
+    has a part of its own with the keys up to the next bound; a single value can't be divided.
+    """
+    ranks = [i / parts for i in range(1, parts)]
+    at = F.col(quoted(column))
+    found = keys.agg(F.percentile_approx(at, F.lit(ranks), F.lit(100 * parts)).alias("bounds")).first()["bounds"] or []
+    bounds = sorted(set(found))
+    if not bounds:
+        return ["1 = 1"]
+    middle = [f"{column} >= {a} AND {column} < {b}" for a, b in pairwise(bounds)]
+    return [f"{column} < {bounds[0]} OR {column} IS NULL", *middle, f"{column} >= {bounds[-1]}"]
+
+
 def read_database_sources(
     spark: SparkSession,
     url: str,
     survey: DataFrame,
-    split_on: Mapping[str, tuple[str, object, object, int]],
+    split_on: Mapping[str, tuple[str, object, object, int] | list[str]],
     shapes: DataFrame | None = None,
     **connection: str,
 ) -> AreaSources:
     """The seven record tables over JDBC.
 
     ``split_on`` maps every database table to (column, lower, upper,
-    partitions): no table is left to a single task.
+    partitions) or to the conditions of :func:`equal_splits`, each of which
+    becomes a task: no table is left to a single task.
     """
     missing = {table for table, _ in _RELATIONS.values()} - set(split_on)
     if missing:
         raise ValueError(f"no split given for {sorted(missing)}")
     tables = {}
     for role, (table, schema) in _RELATIONS.items():
-        reader = spark.read.format("jdbc").option("url", url).options(**connection)
-        loaded = reader.options(**jdbc_options(table, split_on[table])).load()
+        split = split_on[table]
+        if isinstance(split, list):
+            loaded = spark.read.jdbc(url, table, predicates=split, properties=connection)
+        else:
+            reader = spark.read.format("jdbc").option("url", url).options(**connection)
+            loaded = reader.options(**jdbc_options(table, split)).load()
         tables[role] = typed(loaded, schema, table, _UNUSED)
     return AreaSources(survey=survey, shapes=shapes, **tables)

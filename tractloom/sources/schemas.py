@@ -16,6 +16,8 @@ RENTSTAB_V2 = "ucbbl STRING, uc2018 INT"
 
 SURVEY = "geoid STRING, variable STRING, estimate DOUBLE, moe DOUBLE"
 
+SHAPES = "geoid STRING, wkb BINARY"
+
 MEMBERS = ", ".join(f"`{c}` STRING" for c in RAW_MEMBER_COLUMNS)
 OVERRIDES = "uid STRING, address STRING, latitude DOUBLE, longitude DOUBLE"
 ADDRESS_REFERENCE = (
