@@ -1,6 +1,10 @@
 """The driver contract."""
 
 import subprocess
+import subprocess
+import sys
+from pathlib import Path
+
 import __spark_entry__ as contract
 import pytest
 from conftest import TESTDATA
