@@ -1,6 +1,5 @@
 """The driver contract."""
 
-import subprocess
 import subprocess
 import sys
 from pathlib import Path
