@@ -12,6 +12,7 @@ KINDS = {
     "varchar": "string",
     "string": "string",
     "boolean": "boolean",
+    "date": "date",
     "timestamp": "timestamp",
     "timestamp_ntz": "timestamp",
 }

@@ -40,6 +40,11 @@ def in_period(
     return frame
 
 
+def _grouping(per_day: bool, date: str) -> tuple[list[str], list[Column]]:
+    """What records are grouped by, and the column needed for it."""
+    return (["geoid", "day"], [F.to_date(date).alias("day")]) if per_day else (["geoid"], [])
+
+
 def complaint_counts(
     complaints: DataFrame,
     problems: DataFrame,
@@ -47,8 +52,9 @@ def complaint_counts(
     types: Mapping[str, str] = COMPLAINT_TYPES,
     since: datetime.date | None = SINCE,
     until: datetime.date | None = None,
+    per_day: bool = False,
 ) -> DataFrame:
-    """Problems of complaints, counted by type in each area.
+    """Problems of complaints, counted by type in each area, or on each day of each area.
 
     Every complaint row counts all its problems; areas whose complaints have
     no problem keep a row of NULLs. Both sides are reduced to their own key
@@ -57,12 +63,13 @@ def complaint_counts(
     Problems of other complaints are dropped in their scan by a filter of
     the recent, mapped ones, which is read from the same exchange.
     """
+    by, day = _grouping(per_day, "receiveddate")
     located = attach_area(
-        in_period(complaints, "receiveddate", since, until).select("complaintid", "boroughid", "block"),
+        in_period(complaints, "receiveddate", since, until).select("complaintid", "boroughid", "block", *day),
         blocks,
         block_key(F.col("boroughid"), F.col("block")),
     )
-    occurrences = located.groupBy("complaintid", "geoid").agg(F.count("*").alias("occurrences"))
+    occurrences = located.groupBy("complaintid", *by).agg(F.count("*").alias("occurrences"))
     # A problem without a type changes neither a count nor a missing one.
     typed = problems.filter(F.col("type").isNotNull()).select("complaintid", "type")
     # Naming the count keeps this branch equal to the other one, whose exchange it then reuses.
@@ -70,7 +77,7 @@ def complaint_counts(
     counts = typed.groupBy("complaintid").agg(*count_equal("type", types))
     return (
         occurrences.join(counts, "complaintid", "left")
-        .groupBy("geoid")
+        .groupBy(*by)
         .agg(*[F.sum(F.col("occurrences") * F.col(name)).alias(name) for name in types])
     )
 
@@ -81,10 +88,13 @@ def violation_counts(
     classes: Mapping[str, str] = VIOLATION_CLASSES,
     since: datetime.date | None = SINCE,
     until: datetime.date | None = None,
+    per_day: bool = False,
 ) -> DataFrame:
-    recent = in_period(violations, "inspectiondate", since, until)
+    """Violations, counted by class in each area, or on each day of each area."""
+    by, day = _grouping(per_day, "inspectiondate")
+    recent = in_period(violations, "inspectiondate", since, until).select("boroid", "block", "class", *day)
     located = attach_area(recent, blocks, block_key(F.col("boroid"), F.col("block")))
-    return located.groupBy("geoid").agg(*count_equal("class", classes))
+    return located.groupBy(*by).agg(*count_equal("class", classes))
 
 
 def located_evictions(evictions: DataFrame, blocks: DataFrame, kind: str | None = RESIDENTIAL) -> DataFrame:
@@ -99,8 +109,8 @@ def eviction_counts(evictions: DataFrame, blocks: DataFrame, kind: str | None =
     return located.groupBy("geoid").agg(F.count("*").alias("marsh_evic_num"))
 
 
-def unit_losses(before: DataFrame, after: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Regulated units lost, and their share of the units there were.
+def unit_loss_sums(before: DataFrame, after: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Regulated units lost, and the units there were: ``units_lost`` and ``units_before`` of each area.
 
     Only buildings that had units and gained none count; a building missing
     from ``after`` is in neither the difference nor the total. Should an id
@@ -129,6 +139,16 @@ def unit_losses(before: DataFrame, after: DataFrame, blocks: DataFrame) -> DataF
     ).filter("b > 0 AND pairs > 0")
     lost = F.sum(F.col("b") * (F.col("pairs") * F.col("units") - F.col("kept")))
     return summed.groupBy("geoid").agg(
-        lost.cast("double").alias("dereg_units"),
-        ratio(lost, F.sum(F.col("b") * F.col("pairs") * F.col("units"))).alias("dereg_pct"),
+        lost.alias("units_lost"), F.sum(F.col("b") * F.col("pairs") * F.col("units")).alias("units_before")
     )
+
+
+def loss_columns() -> list[Column]:
+    """The finished columns of :func:`unit_loss_sums`."""
+    lost, units = F.col("units_lost"), F.col("units_before")
+    return [lost.cast("double").alias("dereg_units"), ratio(lost, units).alias("dereg_pct")]
+
+
+def unit_losses(before: DataFrame, after: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Regulated units lost, and their share of the units there were."""
+    return unit_loss_sums(before, after, blocks).select("geoid", *loss_columns())

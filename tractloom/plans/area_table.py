@@ -137,6 +137,11 @@ def build_area_indicators(
         sources.parcels, area_list, rules.borough, rules.state, rules.boroughs
     )
     counted = merge_keyed(record_indicators(sources, block_areas(crosswalk), rules))
+    return with_counts(sources, area_list, rules, counted)
+
+
+def with_counts(sources: AreaSources, area_list: DataFrame, rules: AreaRules, counted: DataFrame) -> DataFrame:
+    """The finished table from the indicators of the record tables, one row per area."""
     surveyed = survey_slice(sources.survey, rules.state, rules.county)
     estimates = plain_estimates(pivot_survey(surveyed, rules.variables, margins=False))
     base = survey_ratios(in_areas(estimates, area_list))

@@ -267,6 +267,21 @@ ORACLE_SQL = {
     "ind_dereg": _with("SELECT * FROM i_dereg"),
     "full_join_indicators": _with(_INDICATOR_COLUMNS),
     "merged_indicators": _with(_INDICATOR_COLUMNS),
+    "summed_indicators": _with(_INDICATOR_COLUMNS),
+    "daily_sums": _with(
+        f"""SELECT geoid, day, {', '.join([*COMPLAINT_TYPES, *VIOLATION_CLASSES])} FROM (
+          SELECT geoid, CAST(receiveddate AS DATE) AS day, {_conditional_sums('type', COMPLAINT_TYPES)}
+          FROM complaints LEFT JOIN problems USING (complaintid)
+          JOIN xwalk x ON CAST(x.borocode AS INTEGER) = boroughid AND CAST(x.block AS INTEGER) = complaints.block
+          WHERE receiveddate IS NOT NULL GROUP BY ALL)
+        FULL JOIN (
+          SELECT geoid, CAST(l_shipdate AS DATE) AS day,
+            {_conditional_sums("translate(l_returnflag, 'ANR', 'ABC')", VIOLATION_CLASSES)}
+          FROM lineitem
+          JOIN xwalk x ON CAST(x.borocode AS INTEGER) = l_partkey % 5 + 1
+            AND CAST(x.block AS INTEGER) = {_NUMBER.format('l_partkey')}
+          WHERE l_shipdate IS NOT NULL GROUP BY ALL) USING (geoid, day)"""
+    ),
     "join_left_fanout": _with(
         """SELECT CAST(boroughid AS INTEGER) AS boroughid, type, count(*) AS n_rows
         FROM complaints LEFT JOIN problems USING (complaintid) GROUP BY boroughid, type"""

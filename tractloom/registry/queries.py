@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tractloom.functions.text import normalised_address, postal_address
 from tractloom.operators import counting, crosswalk, projection, relate, reshape
-from tractloom.plans import area_table, map_views, members
+from tractloom.plans import area_table, map_views, members, refresh
 from tractloom.registry import views
 from tractloom.sources.readers import standard_indicator_meta
 
@@ -127,6 +127,21 @@ def merged_indicators(spark: SparkSession, folder: str) -> DataFrame:
     return relate.merge_keyed(_record_indicators(spark, folder))
 
 
+@query
+def daily_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """What a store keeps: counts by area and day, of all days."""
+    return refresh.daily_sums(views.area_sources(spark, folder), _blocks(spark, folder), views.RULES)
+
+
+@query
+def summed_indicators(spark: SparkSession, folder: str) -> DataFrame:
+    """The indicators of a period added up from daily and undated sums."""
+    sources, blocks = views.area_sources(spark, folder), _blocks(spark, folder)
+    daily = counting.in_period(refresh.daily_sums(sources, blocks, views.RULES), "day", views.SINCE)
+    undated = refresh.undated_sums(sources, blocks, views.RULES)
+    return refresh.finished_counts(relate.union_filling([daily, undated]), views.RULES)
+
+
 @query
 def join_left_fanout(spark: SparkSession, folder: str) -> DataFrame:
     return relate.fanout_counts(
