@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tractloom.llm import chat, language_model, simhash
 
 # --- 2 -----------------------------------------------------------------------------------------------------------
@@ -50,11 +53,16 @@ def test_parts_of_every_participant_make_the_whole_dialogue(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "cy", "only once")]
     turns += [(1, i, "ann" if i % 2 else "bob", f"t{i}") for i in range(2, 200)]
     turns += [(2, 1, "ann", f"{i:03}") for i in range(150)] + [(2, 2, "bob", "after the ties"), (2, None, "dee", "last")]
+    # Numbers far apart make no part shorter.
+    turns += [(5, 1000 * i, f"p{i % 20}", f"t{i}") for i in range(40)]
     turns += [(3, 1, "ann", "same")] * 70 + [(3, 0, None, "x"), (3, None, "bob", "y")] + [(4, 0, "system", "alone")]
     turns += [(None, 1, "ann", "x"), (None, 1, "bob", "x"), (None, 1, "system", "x")]
-    rows = chat.perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    clashing = [F.lit(i).alias(name) for i, name in enumerate(["part", "range", "late", "copies", "conv", "spread"])]
+    rows = chat.perspectives(frame.select("*", *clashing)).collect()
+    assert sum(r.conv_id == 5 for r in rows) == 20
     got = {}
-    for r in sorted(rows, key=lambda r: (r.part is None, r.part or 0, r.tie_part)):
+    for r in sorted(rows, key=lambda r: r.part):
         rendered, own = got.get((r.conv_id, r.speaker), ("", []))
         got[r.conv_id, r.speaker] = rendered + r.rendered, own + [r.rendered[m.start : m.end] for m in r.mask]
         assert r.n_turns <= chat.PART and r.n_own == len(r.mask)
@@ -68,3 +76,23 @@ def test_parts_of_every_participant_make_the_whole_dialogue(spark):
             [x for _, r, x in own if r == who],
         )
     assert got == wanted
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_dialogue_in_many_ranges_and_blocks(spark, uncoalesced):
+    n = 3 * chat.PART * chat.BLOCK + 5
+    turns = spark.range(0, n, 1, 8).select(
+        F.lit(7).alias("conv_id"), (F.col("id") * 3).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "ann").otherwise("bob").alias("role"), F.format_string("%05d", "id").alias("text"),
+    )
+    assert chat.ranged_turns(turns, "conv_id", "turn", "role", "text").select("range").distinct().count() > 1
+    rows = chat.perspectives(turns).filter("speaker = 'bob'").orderBy("part").collect()
+    assert [r.part for r in rows] == list(range(len(rows))) and {r.n_turns for r in rows[:-1]} == {chat.PART}
+    own = [r.rendered[m.start : m.end] for r in rows for m in r.mask]
+    assert own == [f"{i:05}" for i in range(1, n, 2)]

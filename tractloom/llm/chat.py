@@ -3,14 +3,19 @@
 For each participant the dialogue is rendered with that speaker as the assistant and everyone else as a user named
 after their role; the mask holds the spans of the speaker's own text. System turns belong to nobody.
 
-Long dialogues come in parts of `PART` turn numbers, so that no row holds an unbounded group. Every participant of a
-dialogue gets every part, with an empty mask where they are silent. Concatenating a speaker's parts by `part` (null
-last) and `tie_part` gives their view of the whole dialogue.
+Long dialogues come in parts of `PART` turns, counted from 0 in the dialogue's order, so that no row holds an unbounded
+group; how turns are numbered doesn't matter. Every participant of a dialogue gets every part, with an empty mask where
+they are silent. Concatenating a speaker's parts by `part` gives their view of the whole dialogue.
+
+Turns get their places from a global sort by dialogue and turn in ranges, which is settled: places within a range are
+counted there, and a dialogue that goes through several ranges adds up their sizes. A dialogue with most of all rows so
+is the work of many tasks, as is its meeting with its participants, block by block of parts.
 
 Nulls and odd input: rows without a conversation id have nothing that ties them together, each is a dialogue of its
 own; a null turn comes last; a null role is the speaker `unknown`; null texts are empty; turns with one number follow
-each other by role and text; a part with more than `PART` turns is cut into `tie_part`s that follow each other; equal
-rows appear as often as they occur.
+each other by role and text; equal rows appear as often as they occur; a dialogue of system turns alone has no
+participant and so no row; a turn's text is never cut, however long; other columns are ignored, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,56 +24,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tractloom.llm.common import col, settle
+
 PART = 64
+#: Parts that meet a dialogue's participants in one place.
+BLOCK = 16
+#: Copies of a row that are listed at once.
+COPIES = 4096
 SYSTEM = "system"
 START, END = "<|start|>", "<|end|>\n"
 
+_ORDER = ["late", "turn", "role", "text"]
 
-def parts(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """One row per part of a dialogue with its turns in order."""
+
+def ranged_turns(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """Distinct turns with their number of copies, sorted by dialogue and order into numbered ranges."""
     rows = turns.select(
-        F.col(conv).alias("conv"),
-        F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.col(role), F.lit("unknown")).alias("role"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        col(conv).alias("conv"),
+        col(turn).isNull().alias("late"),
+        col(turn).cast("long").alias("turn"),
+        F.coalesce(col(role), F.lit("unknown")).alias("role"),
+        F.coalesce(col(text), F.lit("")).alias("text"),
     )
     # Equal rows are counted before they move.
-    counted = rows.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
-    counted = counted.withColumn("part", F.floor(F.col("turn") / PART))
-    ranked = counted.withColumn(
-        "before",
-        F.coalesce(
-            F.sum("copies").over(
-                W.partitionBy("conv", "part", F.when(F.col("conv").isNull(), F.xxhash64("turn", "role", "text")))
-                .orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    )
+    counted = rows.groupBy("conv", *_ORDER).agg(F.count(F.lit(1)).alias("copies"))
+    return settle(counted.repartitionByRange("conv", *_ORDER).withColumn("range", F.spark_partition_id()), "turns")
+
+
+def parts(ranged: DataFrame) -> DataFrame:
+    """One row per part of a dialogue with its turns in order."""
+    sizes = ranged.filter(F.col("conv").isNotNull()).groupBy("conv", "range").agg(F.sum("copies").alias("n"))
+    ahead = W.partitionBy("conv").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("conv", "range", F.sum("n").over(ahead).alias("start")).filter("start IS NOT NULL")
+    within = W.partitionBy("conv", "range").orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1)
+    numbered = ranged.withColumn("before", F.coalesce(F.sum("copies").over(within), F.lit(0)))
     alone = F.col("conv").isNull()
-    each = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    place = F.coalesce("start", F.lit(0)) + F.col("before") + F.col("copy")
+    last = F.col("copies") - 1
+    each = (
+        numbered.join(starts, ["conv", "range"], "left")
+        .withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(COPIES).cast("long"))))
+        .withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + (COPIES - 1), last))))
+    )
     placed = each.select(
         "conv",
-        "part",
-        F.when(alone, F.lit(0)).otherwise(F.floor((F.col("before") + F.col("copy")) / PART)).alias("tie_part"),
+        F.when(alone, F.lit(0)).otherwise(F.floor(place / PART)).cast("long").alias("part"),
         # What makes a row without an id a dialogue of its own.
         F.when(alone, F.struct("turn", "role", "text", "copy")).alias("own"),
-        F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text", "copy").alias("t"),
-    )
-    return placed.groupBy("conv", "part", "tie_part", "own").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-
-def participants(turns: DataFrame, conv: str, role: str) -> DataFrame:
-    """(of, of_spread, participant): who speaks anywhere in a dialogue, system turns aside."""
-    return (
-        turns.select(
-            F.col(conv).alias("of"),
-            F.lit(0).cast("long").alias("of_spread"),
-            F.coalesce(F.col(role), F.lit("unknown")).alias("participant"),
-        )
-        .filter(F.col("of").isNotNull() & (F.col("participant") != SYSTEM))
-        .distinct()
+        F.struct(*_ORDER, "copy").alias("t"),
     )
+    return placed.groupBy("conv", "part", "own").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+
+
+def participants(ranged: DataFrame) -> DataFrame:
+    """(of, of_spread, participant): who speaks anywhere in a dialogue, system turns aside, for each block of parts."""
+    known = ranged.filter(F.col("conv").isNotNull())
+    lengths = known.groupBy("conv").agg(F.sum("copies").alias("n"))
+    who = known.filter(F.col("role") != SYSTEM).select("conv", F.col("role").alias("participant")).distinct()
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / (PART * BLOCK)))
+    return who.join(lengths, "conv").select(F.col("conv").alias("of"), F.explode(blocks).alias("of_spread"), "participant")
 
 
 def _said(turn: Column, speaker: Column) -> list[Column]:
@@ -84,12 +98,12 @@ def _said(turn: Column, speaker: Column) -> list[Column]:
 def perspectives(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """conv_id, speaker, part, tie_part, n_turns, n_own, rendered, mask (spans of the speaker's text, code points)."""
-    grouped = parts(turns, conv, turn, role, text)
+    """conv_id, speaker, part, n_turns, n_own, rendered, mask (spans of the speaker's text, code points)."""
+    ranged = ranged_turns(turns, conv, turn, role, text)
     # Rows without an id meet nobody; they are spread so that they don't become one heap.
     alone = F.col("conv").isNull()
-    spread = grouped.withColumn("spread", F.when(alone, F.xxhash64("own")).otherwise(F.lit(0).cast("long")))
-    told_by = participants(turns, conv, role)
+    spread = parts(ranged).withColumn("spread", F.when(alone, F.xxhash64("own")).otherwise(F.floor(F.col("part") / BLOCK)))
+    told_by = participants(ranged)
     met = (F.col("conv") == F.col("of")) & (F.col("spread") == F.col("of_spread"))
     views = (
         spread.join(told_by, met, "left")
@@ -98,7 +112,7 @@ def perspectives(
     )
     who = F.col("speaker")
     told = views.select(
-        F.col("conv").alias(conv), "speaker", "part", "tie_part", "turns",
+        F.col("conv").alias(conv), "speaker", "part", "turns",
         F.transform("turns", lambda t: F.concat(*_said(t, who))).alias("pieces"),
     )
     # Where each piece begins: lengths summed up to it.
@@ -119,7 +133,7 @@ def perspectives(
         lambda s: s["role"] == who,
     )
     return spots.select(
-        conv, "speaker", "part", "tie_part",
+        conv, "speaker", "part",
         F.size("turns").cast("long").alias("n_turns"),
         F.size(own).cast("long").alias("n_own"),
         F.array_join("pieces", "").alias("rendered"),

@@ -64,28 +64,27 @@ _HEADER = (
 OP5 = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         CAST(floor(turn / {chat.PART}) AS BIGINT) AS part,
-         CAST(floor((row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, 'unknown'), coalesce(text, ''))
-              - 1) / {chat.PART}) AS BIGINT) AS tie_part
-  FROM conversations
+         (row_number() OVER (PARTITION BY conv_id
+            ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) // {chat.PART} AS part
+  FROM conversations WHERE conv_id IS NOT NULL
 ),
-s AS (SELECT DISTINCT conv_id, part, tie_part, role FROM t WHERE role <> '{chat.SYSTEM}'),
+s AS (SELECT DISTINCT conv_id, role FROM t WHERE role <> '{chat.SYSTEM}'),
 v AS (
-  SELECT s.conv_id, s.role AS speaker, s.part, s.tie_part, t.turn, t.role, t.text,
+  SELECT s.conv_id, s.role AS speaker, t.part, t.turn, t.role, t.text,
          {_HEADER} || t.text || {_text(chat.END.strip())} || chr(10) AS piece
-  FROM s JOIN t ON t.conv_id = s.conv_id AND t.part IS NOT DISTINCT FROM s.part AND t.tie_part = s.tie_part
+  FROM s JOIN t ON t.conv_id = s.conv_id
 ),
 o AS (
-  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, speaker, part, tie_part
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, speaker, part
             ORDER BY turn NULLS LAST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
             + {len(chat.START + 'assistant') + 1} AS begins
   FROM v
 )
-SELECT conv_id, speaker, part, tie_part, count(*) AS n_turns, count(*) FILTER (role = speaker) AS n_own,
+SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (role = speaker) AS n_own,
        string_agg(piece, '' ORDER BY turn NULLS LAST, role, text) AS rendered,
-       string_agg(CAST(begins AS VARCHAR) || ':' || CAST(begins + length(text) AS VARCHAR), ',' ORDER BY begins)
-         FILTER (role = speaker) AS mask
-FROM o GROUP BY conv_id, speaker, part, tie_part
+       coalesce(string_agg(CAST(begins AS VARCHAR) || ':' || CAST(begins + length(text) AS VARCHAR), ',' ORDER BY begins)
+         FILTER (role = speaker), '') AS mask
+FROM o GROUP BY conv_id, speaker, part
 """
 
 
