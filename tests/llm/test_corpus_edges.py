@@ -340,9 +340,9 @@ def test_perspectives_mask_the_speaker_s_words(spark):
     ann = next(r for r in of(1, "ann") if r.part == 0)
     assert ann.rendered == (
         "<|start|>system\nbe kind<|end|>\n<|start|>assistant\nhi<|end|>\n"
-        "<|start|>user name=bob\nhé \U0001f600<|end|>\n<|start|>assistant\n<|end|>\n"
+        "<|start|>user name=bob\nhé \U0001f600<|end|>\n<|start|>assistant\n<|end|>\n<|start|>user name=bob\nlate<|end|>\n"
     )
-    assert {r.part for r in of(1, "bob")} == {0, None}
+    assert {r.part for r in of(1, "bob")} == {0}
     assert len(of(None, "ann")) == 2
     assert of(2, "unknown")[0].n_own == 1
     assert sum(r.n_own for r in of(3, "ann")) == 100 and len(of(3, "ann")) == 4
@@ -352,18 +352,40 @@ def test_perspectives_mask_the_speaker_s_words(spark):
 # --- 6 -----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("max_bits", [1 << 27, 0])
-def test_cascade_is_exact_over_its_universe(spark, max_bits):
+@pytest.mark.parametrize(("max_bits", "max_levels"), [(1 << 27, 64), (1500, 64), (1 << 27, 2)])
+def test_cascade_is_exact_over_its_universe(spark, max_bits, max_levels):
     keys = spark.range(3000).select(F.concat(F.lit("host"), "id").alias("key"))
     universe = keys.union(keys.limit(500)).union(spark.createDataFrame([(None,), ("",)], "key string"))
     for share in (0, 3, 97):
         listed = keys.filter(F.abs(F.xxhash64("key", F.lit(1))) % 100 < share)
-        cascade = urls.Cascade(universe, listed, max_bits)
+        cascade = urls.Cascade(universe, listed, max_bits, max_levels)
+        assert (cascade.shards > 1) == (max_bits == 1500 and share == 97)
         wanted = {r.key for r in listed.collect()}
         got = {r.key for r in cascade.mark(universe, "key", "inside").filter("inside").collect()}
         assert got == wanted
 
 
+def test_keys_that_no_hash_tells_apart_are_told_apart_by_name(spark, monkeypatch):
+    spots = urls.Levels._spots
+    monkeypatch.setattr(urls.Levels, "_spots", staticmethod(lambda key, *more: spots(F.translate(key, "ab", "aa"), *more)))
+    universe = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "key string")
+    cascade = urls.Cascade(universe, spark.createDataFrame([("a",)], "key string"), max_levels=6)
+    assert cascade.parts[0].rest is not None
+    assert [r.key for r in cascade.mark(universe, "key", "inside").filter("inside").collect()] == ["a"]
+
+
+def test_odd_pages_keep_their_rows_and_columns(spark):
+    rows = [(1, None), (1, None), (None, ""), (2, "x://h.org/" + "p" * 100_000), (3, "x://" + "h" * 70_000), (4, "x://h.org")]
+    own = [F.lit(f"own {c}").alias(c) for c in ["p", "key", "shard", "row", "is_listed", "r", "verdict"]]
+    pages = spark.createDataFrame(rows, "page_id long, url string").select("*", *own)
+    got = urls.judged_urls(pages, spark.createDataFrame([("h.org",), (None,)], "key string")).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in got) == [
+        (0, "allow"), (1, "allow"), (1, "allow"), (2, "block"), (3, "allow"), (4, "block"),
+    ]
+    assert all((r.p, r.key, r.shard, r.row, r.is_listed) == tuple(f"own {c}" for c in ["p", "key", "shard", "row", "is_listed"])
+               for r in got)
+
+
 def test_url_parts_and_rules(spark):
     rows = [None, "", "no scheme/x", "http://A.Example.COM/en/x?y#z", "x://example.com", "http://www.example.com/en/?a",
             "ftp://q.net/es/1", "http://notexample.com/en/", "http://e.org?/x", "a://b://c/d"]

@@ -57,14 +57,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def settle(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back; `by` names a column to keep apart in folders.
 
     Cuts the lineage, survives lost executors, and lets later steps read only the columns they need.
     The folder is left to whoever cleans spark.checkpoint.dir.
     """
     path = f"{shared_folder(df.sparkSession)}/tractloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,10 @@
 A cascade holds a set exactly, over a known universe of keys: level 1 is a Bloom filter of the listed keys, level 2
 of the unlisted keys that level 1 lets through, level 3 of the listed keys that level 2 lets through, and so on until
 none is left. Its levels are small arrays of bits, built by grouped bit_or and read as scalar subqueries; asking it
-is an expression in the scan, without a join.
+is an expression in the scan, without a join. Every hash is salted before it reads the key, so that keys that meet in
+one hash part in the next; should some still be together after many levels, they are told apart by name. A list too long
+for levels that can be copied becomes several cascades, each over the keys of one hash, which are asked one after the
+other about the rows of theirs.
 
 Nulls and odd input: a null url, or one without `://`, has an empty host and path and no rule fits it; the empty host
 is a key like any other; null keys are in no list; empty lists and empty tables are fine; repeated rows are judged
@@ -13,11 +16,12 @@ alike.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tractloom.llm.common import ascii_lower, settle, unpacked, whole
+from tractloom.llm.common import ascii_lower, col, settle, unpacked, whole
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (
@@ -27,8 +31,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: A cascade is copied to every task, so its first level may have this many bits; a longer list is joined instead.
+#: A cascade is copied to every task, so its first level may have about this many bits; a longer list is split by hash.
 MAX_BITS = 1 << 27
+#: Levels halve what is undecided, so that after so many none is left but by a chance of 2 ** -37 for 2 ** 27 keys.
 MAX_LEVELS = 64
 
 
@@ -51,27 +56,20 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return chosen.cast(kind)
 
 
-class Cascade:
-    """Exact membership of a listed set over a universe of keys; both are DataFrames with a string column `key`."""
+class Levels:
+    """One cascade: `known` has the universe's distinct keys and whether each is `listed`; `rate` is the first level's."""
 
-    def __init__(self, universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS) -> None:
-        keys = universe.select(F.col("key").cast("string")).filter("key IS NOT NULL").distinct()
-        marks = listed.select(F.col("key").cast("string")).filter("key IS NOT NULL").distinct()
-        marked = keys.join(marks.withColumn("listed", F.lit(True)), "key", "left")
-        self.keys = settle(marked.select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
+    def __init__(self, known: DataFrame, rate: float, max_levels: int) -> None:
         self.levels: list[tuple[DataFrame, int, int]] = []
-        total = self.keys.agg(F.count(F.lit(1)).alias("n"), F.count_if("listed").alias("r")).first()
-        inside, outside = total["r"], total["n"] - total["r"]
-        self.listed = self.keys.filter("listed").select("key")
-        # The first level's rate balances both sides; later ones halve what is left.
-        rate = min(0.5, max(1e-6, math.sqrt(0.5) * inside / max(1, outside)))
-        self.fits = inside * math.log2(1 / rate) * 1.45 <= max_bits
-        left, passed = self.listed, inside
-        while self.fits and passed:
-            if len(self.levels) == MAX_LEVELS:
-                raise RuntimeError("the cascade does not end")
+        self.rest: DataFrame | None = None
+        left = known.filter("listed").select("key")
+        passed = left.count()
+        while passed:
+            if len(self.levels) == max_levels:
+                self.rest = settle(left.agg(F.collect_set("key").alias("keys")), "rest")
+                break
             self.levels.append(self._level(left, passed, rate))
-            other = self.keys.filter(~F.col("listed") if len(self.levels) % 2 else F.col("listed"))
+            other = known.filter(~F.col("listed") if len(self.levels) % 2 else F.col("listed"))
             left = settle(other.filter(self._passes_all(F.col("key"))).select("key"), "cascade")
             passed, rate = left.count(), 0.5
 
@@ -91,7 +89,7 @@ class Cascade:
 
     @staticmethod
     def _spots(key: Column, level: int, size: int, hashes: int) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(size)) for i in range(hashes)]
+        return [F.pmod(F.xxhash64(F.lit(level), F.lit(i), key), F.lit(size)) for i in range(hashes)]
 
     def _in_level(self, key: Column, at: int) -> Column:
         row, size, hashes = self.levels[at]
@@ -113,18 +111,49 @@ class Cascade:
 
     def contains(self, key: Column) -> Column:
         """Whether a key of the universe is listed."""
-        inside = F.lit(False)
+        inside = F.lit(False) if self.rest is None else F.array_contains(self.rest.scalar(), key)
         for at in reversed(range(len(self.levels))):
             inside = self._in_level(key, at) & ~inside
         return key.isNotNull() & F.coalesce(inside, F.lit(False))
 
+
+class Cascade:
+    """Exact membership of a listed set over a universe of keys; both are DataFrames with a string column `key`."""
+
+    def __init__(
+        self, universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS, max_levels: int = MAX_LEVELS
+    ) -> None:
+        keys = universe.select(F.col("key").cast("string")).filter("key IS NOT NULL").distinct()
+        marks = listed.select(F.col("key").cast("string")).filter("key IS NOT NULL").distinct()
+        marked = keys.join(marks.withColumn("listed", F.lit(True)), "key", "left")
+        known = settle(marked.select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
+        total = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("listed").alias("r")).first()
+        inside, outside = total["r"], total["n"] - total["r"]
+        # The first level's rate balances both sides; later ones halve what is left.
+        rate = min(0.5, max(1e-6, math.sqrt(0.5) * inside / max(1, outside)))
+        self.shards = max(1, math.ceil(inside * math.log2(1 / rate) * 1.45 / max_bits))
+        if self.shards > 1:
+            known = settle(known.withColumn("shard", self._shard(F.col("key"))), "shards", "shard")
+        self.parts = [Levels(part, rate, max_levels) for part in self._apart(known)]
+
+    def _shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(self.shards)).cast("int")
+
+    def _apart(self, sharded: DataFrame) -> list[DataFrame]:
+        """The rows of each shard, settled in folders of their own; all rows where there is one shard."""
+        return [sharded] if self.shards == 1 else [sharded.filter(F.col("shard") == s) for s in range(self.shards)]
+
     def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
-        """A boolean column: by the cascade, or by a join where the list is too long to be copied."""
-        if self.fits:
-            return df.withColumn(name, self.contains(F.col(key)))
-        listed = self.listed.select(F.col("key").alias("_key"), F.lit(True).alias(name))
-        joined = df.join(listed, F.col(key) == F.col("_key"), "left").drop("_key")
-        return joined.withColumn(name, F.coalesce(name, F.lit(False)))
+        """With a boolean column. Rows of several shards are written apart and marked shard by shard, so that only one
+        shard's bits are in memory at a time."""
+        if self.shards == 1:
+            return df.withColumn(name, self.parts[0].contains(col(key)))
+        rows = df.select(whole(df).alias("row"), col(key).alias("key"), self._shard(col(key)).alias("shard"))
+        marked = [
+            settle(some.select("row", part.contains(F.col("key")).alias(name)), "marked")
+            for some, part in zip(self._apart(settle(rows, "rows", "shard")), self.parts, strict=True)
+        ]
+        return unpacked(reduce(DataFrame.unionAll, marked), "row", df.columns, [name])
 
 
 def judged_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules: tuple = RULES) -> DataFrame:
