@@ -53,6 +53,9 @@ ADDED = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 _SPACE = re.compile(rb"[ \t-\r]")
 #: Stands between words that are looked up together; it is matched before a text is split into words.
 _BETWEEN = "<|startoftext|>"
+#: Letters that have one lower case and one spelling, and signs behind them that begin no ending: one or two tokenized
+#: words, each of which ends with an id of a token that closes a word.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@[-`{-~]+)?")
 
 
 # --- ids ---------------------------------------------------------------------------------------------------------
@@ -64,10 +67,38 @@ class Words:
     def __init__(self, path: str, between: str = _BETWEEN) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.between, self.mark = between, self.tokenizer.token_to_id(between)
+        closing = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Which ids close a word, where the vocabulary says so.
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() if closing else 0, bool)
+        if closing:
+            self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(closing)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _encoded(self, words: list[bytes]) -> Iterator[bytes]:
+    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words and their ids, in any order."""
+        plain, sizes, other = [], [], words
+        if len(self.closes):
+            # No word holds a blank, and a broken character at a word's end does not take the blank along.
+            texts = b" ".join(words).decode("utf-8", "replace").split(" ")
+            found = list(map(_PLAIN.fullmatch, texts))
+            plain = [w for w, m in zip(words, found, strict=True) if m]
+            sizes = [m.lastindex for m in found if m]
+            other = [w for w, m in zip(words, found, strict=True) if not m]
+        if plain:
+            joined = self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)
+            ids = np.array(joined[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == sum(sizes):
+                cuts = [0, *(4 * ends[np.cumsum(sizes) - 1]).tolist()]
+                data = ids.tobytes()
+                yield from ((w, data[s:e]) for w, s, e in zip(plain, cuts, cuts[1:], strict=False))
+            else:
+                other = words
+        if other:
+            yield from zip(other, self._marked(other), strict=True)
+
+    def _marked(self, words: list[bytes]) -> Iterator[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
         if self.mark is None or any(self.between in t for t in texts):
             for t in texts:
@@ -103,8 +134,7 @@ class Words:
                 else:
                     new.append(w)
             for at in range(0, len(new), 2000):
-                some = new[at : at + 2000]
-                for w, ids in zip(some, self._encoded(some), strict=True):
+                for w, ids in self._encoded(new[at : at + 2000]):
                     if len(w) <= LONGEST:
                         self.young[w] = ids
                     else:
