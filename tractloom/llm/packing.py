@@ -124,23 +124,22 @@ class Words:
 
     def _slice(self, text: bytes) -> bytes:
         words = text.split()
-        missing = set(words).difference(self.young)
-        here = {}
-        if missing:
-            new = []
-            for w in missing:
-                if (known := self.old.get(w)) is not None:
-                    self.young[w] = known
+        young = self.young
+        known = list(map(young.get, words))
+        if None in known:
+            gaps = [i for i, ids in enumerate(known) if ids is None]
+            new, here = [], {}
+            for w in {words[i] for i in gaps}:
+                if (ids := self.old.get(w)) is not None:
+                    young[w] = here[w] = ids
                 else:
                     new.append(w)
             for at in range(0, len(new), 2000):
-                for w, ids in self._encoded(new[at : at + 2000]):
-                    if len(w) <= LONGEST:
-                        self.young[w] = ids
-                    else:
-                        here[w] = ids
-        young = self.young
-        joined = b"".join([here[w] if w in here else young[w] for w in words] if here else map(young.get, words))
+                here.update(self._encoded(new[at : at + 2000]))
+            young.update((w, here[w]) for w in new if len(w) <= LONGEST)
+            for i in gaps:
+                known[i] = here[words[i]]
+        joined = b"".join(known)
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
         return joined
