@@ -128,3 +128,25 @@ def test_neighbours_on_the_curve_use_the_same_words(spark):
         held.setdefault(r.sequence_id, set()).add(r.doc_id % 4)
     # In random order hardly any sequence would hold a single tongue: about one of fifty.
     assert np.mean([len(h) == 1 for h in held.values()]) > 0.5
+
+
+def test_words_looked_up_together_equal_each_on_its_own(tokenizer):
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)]]
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    words = [f"{x}b" for x in letters] + [f"b{x}" for x in letters] + [f"Ab{s}" for s in signs] + [f"{s}b{s}{s}" for s in signs]
+    words += ["it's", "ab'll", "ab''", "éa", "́b", "ȧ", "ab ", "　ab", "12ab", "ab12", "ab\x00", "ab!é"]
+    memory = packing.Words(VOCABULARY)
+    encoded = dict(memory._encoded([w.encode() for w in words] + [b"ab\xff", b"\xc3", b"ab\xc3"]))
+    for word, ids in encoded.items():
+        alone = tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == alone, word
+    assert set(encoded) == {*(w.encode() for w in words), b"ab\xff", b"\xc3", b"ab\xc3"}
+
+
+def test_sums_of_signs_hold_for_many_ids(tokenizer):
+    signs = packing._signs(tokenizer.get_vocab_size())
+    ids = np.random.default_rng(1).integers(0, len(signs), 200_000)
+    each = (signs[:, None] >> (16 * np.arange(packing.DIMENSIONS)) & 1) * 2 - 1
+    assert packing._sums(signs, ids) == each[ids].sum(axis=0).tolist()
+    same = np.full(200_000, ids[0])
+    assert packing._sums(signs, same) == (each[ids[0]] * 200_000).tolist()

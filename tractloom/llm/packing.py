@@ -153,11 +153,21 @@ def _words(path: str) -> Words:
 
 @lru_cache(maxsize=2)
 def _signs(types: int) -> np.ndarray:
-    """For each id the signs that its bin adds to the coordinates."""
+    """For each id the signs that its bin adds to the coordinates: 16 bits a coordinate, of value 1 for a plus."""
     random = np.random.default_rng(SEED)
     bins = random.choice(np.array([-1, 1], np.int32), (BINS, DIMENSIONS))
     hashed = (np.arange(types, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return bins[(hashed >> np.uint64(40)) % np.uint64(BINS)]
+    plus = ((bins > 0).astype(np.int64) << (16 * np.arange(DIMENSIONS))).sum(axis=1)
+    return plus[(hashed >> np.uint64(40)) % np.uint64(BINS)]
+
+
+def _sums(signs: np.ndarray, ids: np.ndarray) -> list[int]:
+    """Sums of the ids' signs by coordinate."""
+    plus, most = [0] * DIMENSIONS, (1 << 16) - 1
+    for at in range(0, len(ids), most):
+        total = int(signs[ids[at : at + most]].sum())
+        plus = [p + (total >> 16 * i & most) for i, p in enumerate(plus)]
+    return [2 * p - len(ids) for p in plus]
 
 
 # --- the curve ---------------------------------------------------------------------------------------------------
@@ -215,8 +225,7 @@ def _tokenise(path: str, end: int):  # noqa: ANN202
                 own = np.frombuffer(words.ids(text) + last, "<u4")
                 ids.append(own.astype(kind).tobytes())
                 sizes.append(len(own))
-                bins = signs[own].sum(axis=0, dtype=np.int64)
-                places.append([int(b) * UNIT // len(own) for b in bins])
+                places.append([b * UNIT // len(own) for b in _sums(signs, own)])
             out = pd.DataFrame(np.array(places, np.int64).reshape(-1, DIMENSIONS), columns=_COORDINATES)
             out.insert(0, "n", np.array(sizes, np.int64))
             out.insert(0, "ids", pd.Series(ids, dtype=object))
