@@ -18,6 +18,7 @@ table gives no pieces. Columns added here replace input columns of the same name
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from tractloom.llm.common import col, settle, unpacked, whole
 
@@ -56,6 +57,12 @@ _BETWEEN = "<|startoftext|>"
 #: Letters that have one lower case and one spelling, and signs behind them that begin no ending: one or two tokenized
 #: words, each of which ends with an id of a token that closes a word.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@[-`{-~]+)?")
+#: Fixed value: how a tokenizer's file states a normalisation that only lowers the letters of such words.
+_LOWERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
 
 
 # --- ids ---------------------------------------------------------------------------------------------------------
@@ -68,6 +75,11 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.between, self.mark = between, self.tokenizer.token_to_id(between)
         closing = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: For plain words; where normalising them is lowering them, that is done before.
+        self.plain = Tokenizer.from_file(path)
+        self.lowers = json.loads(self.plain.to_str())["normalizer"] == {"type": "Sequence", "normalizers": _LOWERS}
+        if self.lowers:
+            self.plain.normalizer = normalizers.Sequence([])
         #: Which ids close a word, where the vocabulary says so.
         self.closes = np.zeros(self.tokenizer.get_vocab_size() if closing else 0, bool)
         if closing:
@@ -86,8 +98,9 @@ class Words:
             sizes = [m.lastindex for m in found if m]
             other = [w for w, m in zip(words, found, strict=True) if not m]
         if plain:
-            joined = self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)
-            ids = np.array(joined[0].ids, "<u4")
+            joined = b" ".join(plain).decode()
+            joined = joined.lower() if self.lowers else joined
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == sum(sizes):
                 cuts = [0, *(4 * ends[np.cumsum(sizes) - 1]).tolist()]
