@@ -46,7 +46,7 @@ UNIT = 1 << 20
 SPREAD = 4.0
 SEED = 5
 #: Words of one generation of the memory, the longest that is kept, and bytes of text that are split at once.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 LONGEST = 64
 SLICE = 1 << 20
 
