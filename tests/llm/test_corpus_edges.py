@@ -113,14 +113,30 @@ def test_toxicity_on_texts_that_were_not_labelled(spark):
     assert sum(r.toxic == bool(r.y) for r in found) >= 0.98 * len(found)
 
 
-def test_later_links_see_earlier_ones_out_of_fold():
+def test_later_links_see_earlier_ones_out_of_fold(monkeypatch):
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 500, 20)) for _ in range(400)]
     first = np.array([r.min() < 10 for r in rows], float)
-    chain = toxicity.fit_chain(rows, np.column_stack([first, first]), np.arange(400) % toxicity.FOLDS)
+    folds = rng.integers(0, toxicity.FOLDS, 400)
+    seen = []
+    plain = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda r, before, y: (seen.append((len(r), before)), plain(r, before, y))[1])
+    chain = toxicity.fit_chain(rows, np.column_stack([first, first]), folds)
     assert [len(m.earlier) for m in chain] == [0, 1]
     assert chain[1].earlier[0] > 0
 
+    nothing = np.zeros((400, 0))
+    wanted = np.zeros(400)
+    for fold in range(toxicity.FOLDS):
+        kept = np.flatnonzero(folds != fold)
+        model = plain([rows[i] for i in kept], nothing[kept], first[kept])
+        for i in np.flatnonzero(folds == fold):
+            wanted[i] = model.scores([rows[i]], nothing[:1])[0]
+    (learnt,) = [before[:, 0] for n, before in seen if n == 400 and before.shape[1] == 1]
+    assert learnt == pytest.approx(wanted, abs=1e-12)
+    within = chain[0].scores(rows, nothing)
+    assert np.abs(learnt - within).mean() > 0.001  # in-fold probabilities would not pass
+
 
 # --- 2 -----------------------------------------------------------------------------------------------------------
 

@@ -93,3 +93,26 @@ def test_stages_on_no_documents_and_clashing_names(spark, folder):
         assert stage(spark, docs, folder).count() == 1
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, folder).columns == docs.columns
+
+
+def test_first_and_last_stage_on_nulls_ties_no_documents_and_clashing_names(spark, folder):
+    text = "twelve different words that no rule could object to, as we hope"
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, text, "en", "a", 63), (2, text, "en", "a", 63)]
+    rows += [(None, text, None, None, 63), (3, text + " x" * 20, "en", "b", 103)]
+    docs = spark.createDataFrame(rows, kind).withColumns(
+        {c: F.lit(1) for c in ("d", "kept", "n_words", "n", "key", "rank", "taken", "finish", "size", "range", "cum")}
+    )
+    quality, mixing = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[4][1]
+    assert quality(spark, docs, folder).columns == docs.columns
+    assert quality(spark, docs.limit(0), folder).count() == 0
+    kept = sorted((r.doc_id or 0, r.text) for r in quality(spark, docs, folder).collect())
+    assert kept == [(0, text), (2, text), (2, text)]  # too few words, and a word repeated twenty times, are rejected
+    mix = mixing(spark, docs, folder)
+    assert set(mix.columns) == {*docs.columns, "source_size", "target"} and len(set(mix.columns)) == len(mix.columns)
+    assert mixing(spark, docs.limit(0), folder).count() == 0
+    taken = mix.collect()
+    assert all(0 < r.taken <= 2 * r.size and r.size == len(r.text.split()) for r in taken)
+    total = sum(len((r[1] or "").split()) for r in rows)
+    assert sum(r.taken for r in taken) == total * 3 // 2
+    assert [r.finish for r in taken] == sorted(r.finish for r in taken)
