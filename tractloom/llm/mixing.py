@@ -8,7 +8,9 @@ No source passes through one task: running sums are taken within hash ranges of
 and the place of the cut is found from sums per slice of virtual time before rows are looked at.
 
 Nulls and odd input: null texts have size 0 and are never taken; a null source is one source, the last in order;
-null ids are fine; repeated rows count as often as they occur; empty tables give empty mixes.
+null ids are fine; repeated rows count as often as they occur; empty tables give empty mixes. Of a text of any length
+only its number of words is moved about. Equal finish times go by source, then by the words before them. Result columns
+replace input columns of the same name; all others pass through, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ characters, lines or words. Documents that fail the base rules are in no sketch.
 Texts of any length are read whole, each within its own row.
 
 Nulls and odd input: a null text has no words and fails; null languages or sources are a group like any other; empty
-tables give empty results; repeated rows are judged alike, each on its own row.
+tables give empty results; repeated rows are judged alike, each on its own row. A rate at its fence passes. Added
+columns replace input columns of the same name; all others pass through, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ paired with another.
 Texts are scanned whole, whatever their length, in time that grows with their length and the number of parts.
 
 Nulls and odd input: a null or empty text has no spans; other columns pass through untouched; repeated rows are
-scanned alike; an empty table stays empty.
+scanned alike; an empty table stays empty. Of spans that begin at one place, the kind listed first comes first.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ many members are cut into tiles that cover all pairs of slices. Components are f
 together with pointer jumping; a round at least halves the nodes, and rounds go on until no link is left.
 
 Nulls and odd input: a null or empty text has fingerprint zero and is linked like any other; a null id is no
-smallest id unless all are null; repeated rows share a component; empty tables stay empty.
+smallest id unless all are null; repeated rows share a component; empty tables stay empty. Texts of any length are
+read whole, within their own row. A bit set in exactly half the hashes is 0. Of rows with a component's smallest id
+one stays. Added columns replace input columns of the same name; all others pass through, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ id; features are counted in the tasks and only hashed counts travel. Scoring cov
 
 Nulls and odd input: null texts have no words and get the models' base rates; labels that are null count as 0;
 labelled ids without a document are ignored, those with several documents teach each of them; without labelled rows
-every probability is 0; repeated rows score alike; empty tables stay empty.
+every probability is 0; repeated rows score alike; empty tables stay empty. Texts of any length are read whole, within
+their own row. A probability at the threshold is toxic. Result columns replace input columns of the same name; all
+others pass through, whatever their names.
 """
 
 from __future__ import annotations
