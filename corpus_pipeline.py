@@ -5,6 +5,11 @@ but one of each group, contaminated documents go, secrets are replaced in the te
 that it takes. All but the last stage return the columns of `documents`; the mix adds size, source_size, target,
 taken and finish, and is sorted by finish time. Between stages the documents are written as Parquet in the shared
 folder and read again.
+
+Nulls and odd input: documents whose text is null or empty have too few words and go in the first stage; a null
+language or source is a group like any other; null ids are fine. Texts of any length are read whole. Of repeated rows
+the second stage keeps one. No documents, or none that pass, give an empty mix; an empty benchmark rejects nothing.
+Other columns pass through all stages, whatever their names, but for those named like the mix's, which it replaces.
 """
 
 from __future__ import annotations
