@@ -42,6 +42,34 @@ def test_scores_are_those_of_a_plain_run_whatever_the_window(monkeypatch):
             assert np.allclose(lm._run(model, lm.Lanes(texts, width), None), wanted, rtol=1e-4)
 
 
+def test_slopes_are_those_of_small_changes():
+    model, rng = random_model(), np.random.default_rng(4)
+    texts = [np.append(rng.integers(1, lm.TYPES, n), lm.END).astype(np.int16) for n in (3, 0, 5, 3)]
+    for width in (1, 2, 4):
+        windows = []
+        lm._run(model, lm.Lanes(texts, width), lambda slopes, n, most: windows.append((slopes, n)))
+        ((slopes, n),) = windows
+        assert n == sum(map(len, texts))
+        for name, weights in model.items():
+            steep = np.argsort(-np.abs(slopes[name]), axis=None)[:4]
+            for i in [*steep, rng.integers(weights.size)]:
+                at = np.unravel_index(i, weights.shape)
+                both = []
+                for change in (1e-4, -1e-4):
+                    other = {k: v.astype(np.float64) for k, v in model.items()}
+                    other[name][at] += change
+                    both.append(sum(plain_score(other, t) for t in texts))
+                assert np.isclose(slopes[name][at], (both[1] - both[0]) / 2e-4, rtol=1e-3, atol=1e-4), (name, at)
+
+
+def test_a_step_works_on_gates_in_one_piece_of_memory():
+    model, rng = random_model(), np.random.default_rng(5)
+    inputs, fresh = rng.integers(0, lm.TYPES, (16, 64)).astype(np.int16), rng.random((16, 64)) < 0.1
+    _, kept = lm._recur(model, inputs, fresh, np.zeros((64, lm.HIDDEN), np.float32), True)
+    steps = [x for part in (kept["before"], kept["n"], kept["inner"], *kept["gates"]) for x in part]
+    assert len(steps) == 5 * 16 and all(x.flags.c_contiguous and x.dtype == np.float32 for x in steps)
+
+
 def test_one_very_long_text_takes_no_more_than_its_tokens():
     rng = np.random.default_rng(2)
     texts = [np.append(rng.integers(1, lm.TYPES, 20), lm.END).astype(np.int16) for _ in range(5000)]

@@ -85,33 +85,45 @@ def new_model(counts: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _gates(weights: np.ndarray) -> np.ndarray:
+    """Columns of the three gates one behind the other, so that each gate lies in one piece of memory."""
+    return np.ascontiguousarray(weights.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
 
 
 def _recur(
     m: dict, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, learn: bool
-) -> tuple[np.ndarray, list]:
+) -> tuple[np.ndarray, dict]:
     """States after each step (steps, lanes, h); if learning, what the way back needs. fresh: where a text begins."""
-    h = HIDDEN
-    out = np.empty((*inputs.shape, h), np.float32)
-    kept = []
-    u, bn = m["u"], m["bn"]
-    from_words, goes_on = m["wx"][inputs], ~fresh[:, :, None]
-    for t in range(len(inputs)):
-        before = state * goes_on[t]
-        from_word, from_state = from_words[t], before @ u
-        gates = _sigmoid(from_word[:, : 2 * h] + from_state[:, : 2 * h])
-        inner = from_state[:, 2 * h :]
+    steps = len(inputs)
+    out = np.empty((*inputs.shape, HIDDEN), np.float32)
+    u, bn = _gates(m["u"]), m["bn"]
+    from_words = np.take(_gates(m["wx"]), inputs.astype(np.intp), axis=1)
+    begins = [np.flatnonzero(f) for f in fresh]
+    kept = {}
+    if learn:
+        kept = {k: np.empty_like(out) for k in ("before", "n", "inner")} | {"gates": from_words[:2], "begins": begins}
+    for t in range(steps):
+        if learn or len(begins[t]):
+            before = kept["before"][t] if learn else np.empty_like(state)
+            np.copyto(before, state)
+            before[begins[t]] = 0
+        else:
+            before = state
+        zr, n = from_words[:2, t], from_words[2, t]
+        zr += before @ u[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r = zr
+        inner = np.matmul(before, u[2], out=kept["inner"][t] if learn else None)
         inner += bn
-        z, r = gates[:, :h], gates[:, h:]
-        n = np.tanh(from_word[:, 2 * h :] + r * inner)
+        n += r * inner
+        n = np.tanh(n, out=kept["n"][t] if learn else n)
         state = out[t]
         np.subtract(before, n, out=state)
         state *= z
         state += n
-        if learn:
-            kept.append((before, z, r, n, inner))
     return out, kept
 
 
@@ -119,73 +131,89 @@ def _outputs(m: dict, states: np.ndarray, targets: np.ndarray, learn: bool) -> t
     """Log probabilities of the targets; if learning, slopes of the output weights and of the states."""
     members = TYPES // CLASSES
     order = np.argsort(targets, kind="stable")  # by class, and by word within it
-    states, sorted_ = states[order], targets[order]
-    classes, words = sorted_ // members, sorted_ % members
+    states, sorted_ = np.take(states, order, axis=0), np.take(targets, order)
     rows = np.arange(len(targets))
+    classes = sorted_ // members
+    own_class, own_word = rows * CLASSES + classes, rows * members + sorted_ % members
     # States lie between -1 and 1, so logits stay far from overflow without taking off their maximum.
-    logits = states @ m["wc"] + m["bc"]
-    p = np.exp(logits)
+    logits = states @ m["wc"]
+    logits += m["bc"]
+    found = np.take(logits, own_class)
+    p = np.exp(logits, out=logits)
     total = p @ np.ones(CLASSES, p.dtype)
-    found = logits[rows, classes] - np.log(total)
+    bounds = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist()
+    used = [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+    found -= np.log(total)
+    inside, sums = np.empty((len(targets), members), states.dtype), np.empty_like(total)
+    ones = np.ones(members, states.dtype)
+    for c, at in used:
+        own = np.matmul(states[at], m["ww"][c], out=inside[at])
+        own += m["bw"][c]
+    at_word = np.take(inside, own_word)
+    q = np.exp(inside, out=inside)
+    for _, at in used:
+        np.matmul(q[at], ones, out=sums[at])
+    found += at_word - np.log(sums)
     slopes: dict[str, np.ndarray] = {}
     back = np.empty(0)
     if learn:
-        p /= total[:, None]
-        p[rows, classes] -= 1
-        slopes["wc"], slopes["bc"] = states.T @ p, np.ones(len(p), p.dtype) @ p
-        back = p @ m["wc"].T
+        for x, by, own in ((p, total, own_class), (q, sums, own_word)):
+            x /= by[:, None]
+            x.ravel()[own] -= 1
+        ones = np.ones(len(p), p.dtype)
+        slopes["wc"], slopes["bc"] = states.T @ p, ones @ p
         slopes["ww"], slopes["bw"] = np.zeros_like(m["ww"]), np.zeros_like(m["bw"])
-    bounds = np.searchsorted(classes, np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = slice(bounds[c], bounds[c + 1])
-        own, word = states[at], words[at]
-        if not len(own):
-            continue
-        logits = own @ m["ww"][c] + m["bw"][c]
-        p = np.exp(logits)
-        total = p @ np.ones(members, p.dtype)
-        few = rows[: len(own)]
-        found[at] += logits[few, word] - np.log(total)
-        if learn:
-            p /= total[:, None]
-            p[few, word] -= 1
-            slopes["ww"][c], slopes["bw"][c] = own.T @ p, np.ones(len(p), p.dtype) @ p
-            back[at] += p @ m["ww"][c].T
+        sorted_back = p @ m["wc"].T
+        for c, at in used:
+            np.matmul(states[at].T, q[at], out=slopes["ww"][c])
+            np.matmul(ones[at], q[at], out=slopes["bw"][c])
+            sorted_back[at] += q[at] @ m["ww"][c].T
+        back = np.empty_like(sorted_back)
+        back[order] = sorted_back
     unsorted = np.empty_like(found)
     unsorted[order] = found
-    if learn:
-        placed = np.empty_like(back)
-        placed[order] = back
-        back = placed
     return unsorted, slopes, back
 
 
-def _backward(m: dict, inputs: np.ndarray, fresh: np.ndarray, kept: list, outer: np.ndarray) -> dict[str, np.ndarray]:
+def _backward(m: dict, inputs: np.ndarray, kept: dict, outer: np.ndarray) -> dict[str, np.ndarray]:
     """Slopes of the recurrent weights over one window; nothing flows further back."""
     h = HIDDEN
-    u = m["u"]
-    word_slopes = np.empty((*inputs.shape, 3 * h), np.float32)
-    slopes = {"u": np.zeros_like(u), "bn": np.zeros_like(m["bn"])}
+    u_back = m["u"].T
+    z, r = kept["gates"]
+    before, n, inner, begins = kept["before"], kept["n"], kept["inner"], kept["begins"]
+    # What needs no slopes, for all steps at once.
+    not_z, not_r, change, bend = 1 - z, 1 - r, before - n, n * n
+    np.subtract(1, bend, out=bend)
+    by_word = np.empty((*inputs.shape, 3 * h), np.float32)
+    from_state = np.empty_like(by_word[0])
+    slopes = {"u": np.zeros_like(m["u"]), "bn": np.zeros_like(m["bn"])}
+    ones = np.ones(inputs.shape[1], np.float32)
     carried = np.zeros_like(outer[0])
     for t in reversed(range(len(inputs))):
-        before, z, r, n, inner = kept[t]
-        ds = outer[t] + carried
-        dn = ds * (1 - z) * (1 - n * n)
-        d_inner = dn * r
-        here = word_slopes[t]
-        here[:, :h] = ds * (before - n) * z * (1 - z)
-        here[:, h : 2 * h] = dn * inner * r * (1 - r)
-        here[:, 2 * h :] = dn
-        from_state = here.copy()
-        from_state[:, 2 * h :] = d_inner
-        slopes["u"] += before.T @ from_state
-        slopes["bn"] += np.ones(len(d_inner), d_inner.dtype) @ d_inner
-        carried = (ds * z + from_state @ u.T) * ~fresh[t][:, None]
-    flat, ids = word_slopes.reshape(-1, 3 * h), inputs.reshape(-1)
+        ds = np.add(outer[t], carried, out=carried)
+        dn = ds * not_z[t]
+        dn *= bend[t]
+        dz = ds * change[t]
+        dz *= z[t]
+        dz *= not_z[t]
+        dr = dn * inner[t]
+        dr *= r[t]
+        dr *= not_r[t]
+        d_inner = dn * r[t]
+        np.concatenate((dz, dr, dn), axis=1, out=by_word[t])
+        np.concatenate((dz, dr, d_inner), axis=1, out=from_state)
+        slopes["u"] += before[t].T @ from_state
+        slopes["bn"] += ones @ d_inner
+        carried = from_state @ u_back
+        ds *= z[t]
+        carried += ds
+        carried[begins[t]] = 0
+    ids = inputs.reshape(-1)
     order = np.argsort(ids, kind="stable")
-    firsts = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
+    ids = ids[order]
+    firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     slopes["wx"] = np.zeros_like(m["wx"])
-    slopes["wx"][ids[order][firsts]] = np.add.reduceat(flat[order], firsts, axis=0)
+    slopes["wx"][ids[firsts]] = np.add.reduceat(np.take(by_word.reshape(-1, 3 * h), order, axis=0), firsts, axis=0)
     return slopes
 
 
@@ -235,16 +263,20 @@ def _run(m: dict, lanes: Lanes, learn) -> np.ndarray:  # noqa: ANN001
     sums = np.zeros(int(lanes.text.max()) + 1 if lanes.text.size else 0)
     state = np.zeros((lanes.width, HIDDEN), np.float32)
     for places, real in lanes.windows(STEPS if learn else SCORING_STEPS):
-        inputs, fresh = lanes.inputs[places], lanes.fresh[places]
+        inputs, fresh = np.take(lanes.inputs, places), np.take(lanes.fresh, places)
         states, kept = _recur(m, inputs, fresh, state[: places.shape[1]], learn is not None)
         state = states[-1]
-        own = places[real]
-        found, slopes, back = _outputs(m, states[real], lanes.targets[own], learn is not None)
-        sums += np.bincount(lanes.text[own], found, len(sums))
+        # Only at the lanes' ends a window has places that are none of theirs.
+        full = bool(real.all())
+        own = places.ravel() if full else places[real]
+        at = states.reshape(-1, HIDDEN) if full else states[real]
+        found, slopes, back = _outputs(m, at, np.take(lanes.targets, own), learn is not None)
+        sums += np.bincount(np.take(lanes.text, own), found, len(sums))
         if learn:
-            outer = np.zeros_like(states)
-            outer[real] = back
-            slopes |= _backward(m, inputs, fresh, kept, outer)
+            outer = back.reshape(states.shape) if full else np.zeros_like(states)
+            if not full:
+                outer[real] = back
+            slopes |= _backward(m, inputs, kept, outer)
             learn(slopes, len(own), lanes.width * STEPS)
     return sums
 
@@ -407,16 +439,16 @@ def scored_texts(docs: DataFrame, text: str, doc_id: str, carried: list[str]) ->
 
     # Unknown words share the unknown type's probability by smoothed frequency; one more stands for all unseen words.
     rest = n - ends - int(own.sum()) + ALPHA * (v - (1 if ends else 0) - len(own) + 1)
-    whole_mass = n + ALPHA * (v + 1)
+    fullmass = n + ALPHA * (v + 1)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, frequent_counts))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words_, counts_ = shared.value
         known = Vocabulary(words_)
         fitted = shaped(model)
-        log_base = np.log10((counts_ + ALPHA) / whole_mass)
+        log_base = np.log10((counts_ + ALPHA) / fullmass)
         log_rest = np.log10((counts_ + ALPHA) / rest)
-        end_base = np.log10((ends + ALPHA) / whole_mass)
+        end_base = np.log10((ends + ALPHA) / fullmass)
         for batch in batches:
             texts, found = [], []
             for text in batch:
@@ -447,7 +479,7 @@ def scored_texts(docs: DataFrame, text: str, doc_id: str, carried: list[str]) ->
     met = each.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = met.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known_rare"),
-        F.sum(F.col("times") * F.log10((F.col("c") + ALPHA) / whole_mass)).alias("base_rare"),
+        F.sum(F.col("times") * F.log10((F.col("c") + ALPHA) / fullmass)).alias("base_rare"),
         F.sum(F.col("times") * F.log10((F.col("c") + ALPHA) / rest)).alias("rest_rare"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
