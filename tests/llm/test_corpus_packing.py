@@ -1,5 +1,6 @@
 """Packing along the curve: nothing is lost, nothing is padded, neighbours are alike."""
 
+import json
 import random
 import zlib
 
@@ -143,6 +144,49 @@ def test_words_looked_up_together_equal_each_on_its_own(tokenizer):
     assert set(encoded) == {*(w.encode() for w in words), b"ab\xff", b"\xc3", b"ab\xc3"}
 
 
+class Recorder:
+    """Passes words on to a tokenizer and remembers them."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.got = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.got += " ".join(texts).split(" ")
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_letters_and_signs_of_plain_words_are_looked_up_once(tokenizer):
+    memory = packing.Words(VOCABULARY)
+    memory.plain = Recorder(memory.plain)
+    texts = ["many words, MANY words.", "Many, Words; manY.", "words many words,,"]
+    for text in texts:
+        wanted = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(memory.ids(text.encode()), "<u4").tolist() == wanted
+    assert sorted(memory.plain.got) == sorted(["many", "words", ",", ".", ";", ",,"])
+
+
+@pytest.mark.parametrize("together", [1, 50, 10_000])
+def test_texts_read_together_equal_each_on_its_own(tokenizer, monkeypatch, together):
+    monkeypatch.setattr(packing, "TOGETHER", together)
+    monkeypatch.setattr(packing, "SLICE", 20)
+    texts = [t.encode() for _, t in ODD if t and len(t) < 50_000] + [b"", b"  ", b" ab\xff \xc3", b"\x0bx\x0c", b"Ab,\n\nab."]
+    found = list(packing.Words(VOCABULARY).each(texts))
+    assert len(found) == len(texts)
+    for text, ids in zip(texts, found, strict=True):
+        assert ids.tolist() == tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, text
+
+
+def test_a_vocabulary_of_other_rules_gets_whole_words(tokenizer, tmp_path):
+    stated = json.loads(tokenizer.to_str())
+    stated["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    (tmp_path / "other.json").write_text(json.dumps(stated))
+    other = Tokenizer.from_file(str(tmp_path / "other.json"))
+    text = "One word, WORD. and word, ab12 don't"
+    assert other.encode(text).ids != tokenizer.encode(text).ids
+    found = packing.Words(str(tmp_path / "other.json")).ids(text.encode())
+    assert np.frombuffer(found, "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 def test_sums_of_signs_hold_for_many_ids(tokenizer):
     signs = packing._signs(tokenizer.get_vocab_size())
     ids = np.random.default_rng(1).integers(0, len(signs), 200_000)

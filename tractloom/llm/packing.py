@@ -7,9 +7,10 @@ similar words. Documents are sorted by key in ranges; each range fills sequences
 where a sequence ends, so that neighbours on the curve share sequences. What is left at the end of a range is cut into
 lengths that are powers of two, which take no padding.
 
-A word is looked up once and remembered, in two generations of bounded size, because white space always separates
-tokens; the text between two white spaces is what the tokenizer gets. Texts are read in slices, so that a very long one
-takes no more memory than its ids.
+White space always separates tokens, so the text between two white spaces is what the tokenizer gets. Texts are read
+together, some megabytes at a time, and each of their words is looked up once; a very long one is read in slices, so that
+it takes no more memory than its ids. What the tokenizer made of words is remembered, in two generations of bounded size;
+of plain words, which differ in signs behind them and in large letters, letters and signs are remembered apart.
 
 Nulls and odd input: null and empty texts consist of the end id alone. Copies have one key and are told apart by id and
 row, so that no number of them makes a range uneven; null ids come first. Repeated rows are packed once each. An empty
@@ -20,12 +21,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,29 +47,43 @@ UNIT = 1 << 20
 #: The grid covers so many standard deviations on either side of the mean.
 SPREAD = 4.0
 SEED = 5
-#: Words of one generation of the memory, the longest that is kept, and bytes of text that are split at once.
-REMEMBERED = 600_000
+#: Words of one generation of the memory, the longest that is kept, bytes of one text that are split at once, bytes of
+#: several texts whose words are looked up together, and words that the tokenizer gets at once.
+REMEMBERED = 250_000
 LONGEST = 64
 SLICE = 1 << 20
+TOGETHER = 1 << 23
+AT_ONCE = 2000
 
 ADDED = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 _SPACE = re.compile(rb"[ \t-\r]")
 #: Stands between words that are looked up together; it is matched before a text is split into words.
 _BETWEEN = "<|startoftext|>"
-#: Letters that have one lower case and one spelling, and signs behind them that begin no ending: one or two tokenized
-#: words, each of which ends with an id of a token that closes a word.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@[-`{-~]+)?")
+#: A word between blanks. Plain ones are letters that have one lower case and one spelling, and signs behind them that
+#: begin no ending: one or two parts, each of which the tokenizer closes with an id of a token that ends a word.
+_PARTS = re.compile("(?:([A-Za-zÀ-ÖØ-öø-įı-ɏ]++)([!-&(-/:-@[-`{-~]++)?|([^ ]+))(?= |\\Z)")
 #: Fixed value: how a tokenizer's file states a normalisation that only lowers the letters of such words.
 _LOWERS = [
     {"type": "NFC"},
     {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
     {"type": "Lowercase"},
 ]
+#: Fixed value: how it states that letters and signs are parts of their own.
+_SPLITS = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
 
 
 # --- ids ---------------------------------------------------------------------------------------------------------
 
 
+class _NotClosed(Exception):
+    """The vocabulary does not close the parts of plain words one by one."""
+
+
 class Words:
     """Ids of words as bytes of little-endian 32-bit numbers, remembered."""
 
@@ -75,41 +91,78 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.between, self.mark = between, self.tokenizer.token_to_id(between)
         closing = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        #: For plain words; where normalising them is lowering them, that is done before.
+        #: For the parts of plain words, which are lowered before; None where the file states other rules.
         self.plain = Tokenizer.from_file(path)
-        self.lowers = json.loads(self.plain.to_str())["normalizer"] == {"type": "Sequence", "normalizers": _LOWERS}
-        if self.lowers:
+        stated = json.loads(self.plain.to_str())
+        lowers = stated["normalizer"] == {"type": "Sequence", "normalizers": _LOWERS}
+        splits = _SPLITS in ((stated["pre_tokenizer"] or {}).get("pretokenizers") or [])[:1]
+        if lowers and splits and closing:
             self.plain.normalizer = normalizers.Sequence([])
+        else:
+            self.plain = None
         #: Which ids close a word, where the vocabulary says so.
         self.closes = np.zeros(self.tokenizer.get_vocab_size() if closing else 0, bool)
         if closing:
             self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(closing)]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        #: Ids of parts, which are text, and of other words, which are bytes.
+        self.young: dict[str | bytes, bytes] = {}
+        self.old: dict[str | bytes, bytes] = {}
 
     def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Words and their ids, in any order."""
-        plain, sizes, other = [], [], words
-        if len(self.closes):
-            # No word holds a blank, and a broken character at a word's end does not take the blank along.
-            texts = b" ".join(words).decode("utf-8", "replace").split(" ")
-            found = list(map(_PLAIN.fullmatch, texts))
-            plain = [w for w, m in zip(words, found, strict=True) if m]
-            sizes = [m.lastindex for m in found if m]
-            other = [w for w, m in zip(words, found, strict=True) if not m]
-        if plain:
-            joined = b" ".join(plain).decode()
-            joined = joined.lower() if self.lowers else joined
-            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == sum(sizes):
-                cuts = [0, *(4 * ends[np.cumsum(sizes) - 1]).tolist()]
-                data = ids.tobytes()
-                yield from ((w, data[s:e]) for w, s, e in zip(plain, cuts, cuts[1:], strict=False))
-            else:
-                other = words
-        if other:
-            yield from zip(other, self._marked(other), strict=True)
+        """Words and their ids, in order."""
+        if words:
+            yield from zip(words, self._plain_ids(words) or self._known(words, self._marked), strict=True)
+
+    def _plain_ids(self, words: list[bytes]) -> list[bytes] | None:
+        """Ids of words from those of their parts; nothing if the vocabulary does not close each part."""
+        if self.plain is None:
+            return None
+        # No word holds a blank, and a broken character at a word's end does not take the blank along.
+        found = _PARTS.findall(b" ".join(words).decode("utf-8", "replace"))
+        letters = " ".join([m[0] for m in found]).lower().split(" ")
+        signs = {m[1] for m in found}
+        keys = [x or w for w, x in zip(words, letters, strict=True)]
+        try:
+            ends = dict(zip(signs, self._known([*signs], self._closed), strict=True))
+            ids = self._known(keys, self._closed)
+        except _NotClosed:
+            return None
+        return [x + ends[m[1]] if m[1] else x for x, m in zip(ids, found, strict=True)]
+
+    def _known(self, keys: list, encode) -> list[bytes]:  # noqa: ANN001
+        """Ids of parts or words, from the memory or else from `encode`."""
+        young = self.young
+        known = list(map(young.get, keys))
+        gaps = [i for i, ids in enumerate(known) if ids is None]
+        if gaps:
+            new, here = [], {}
+            for key in {keys[i] for i in gaps}:
+                if (ids := self.old.get(key)) is not None:
+                    young[key] = here[key] = ids
+                else:
+                    new.append(key)
+            for at in range(0, len(new), AT_ONCE):
+                some = new[at : at + AT_ONCE]
+                here.update(zip(some, encode(some), strict=True))
+            young.update((key, here[key]) for key in new if len(key) <= LONGEST)
+            for i in gaps:
+                known[i] = here[keys[i]]
+        return known
+
+    def _closed(self, keys: list[str | bytes]) -> list[bytes]:
+        """Ids of parts, told apart by the ids that close them, and of other words."""
+        parts = [key for key in keys if key and isinstance(key, str)]
+        found = {"": b""}
+        if parts:
+            ids = np.array(self.plain.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(parts):
+                raise _NotClosed
+            data = ids.tobytes()
+            found.update((part, data[s:e]) for part, s, e in zip(parts, [0, *ends], ends, strict=False))
+        other = [key for key in keys if isinstance(key, bytes)]
+        found.update(zip(other, self._marked(other), strict=True) if other else ())
+        return [found[key] for key in keys]
 
     def _marked(self, words: list[bytes]) -> Iterator[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -127,35 +180,64 @@ class Words:
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a whole text."""
-        found, at = [], 0
-        while at < len(text):
-            space = _SPACE.search(text, at + SLICE)
-            end = space.end() if space else len(text)
-            found.append(self._slice(text[at:end] if at or end < len(text) else text))
-            at = end
-        return b"".join(found)
-
-    def _slice(self, text: bytes) -> bytes:
-        words = text.split()
-        young = self.young
-        known = list(map(young.get, words))
-        if None in known:
-            gaps = [i for i, ids in enumerate(known) if ids is None]
-            new, here = [], {}
-            for w in {words[i] for i in gaps}:
-                if (ids := self.old.get(w)) is not None:
-                    young[w] = here[w] = ids
-                else:
-                    new.append(w)
-            for at in range(0, len(new), 2000):
-                here.update(self._encoded(new[at : at + 2000]))
-            young.update((w, here[w]) for w in new if len(w) <= LONGEST)
-            for i in gaps:
-                known[i] = here[words[i]]
-        joined = b"".join(known)
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-        return joined
+        return next(self.each([text])).tobytes()
+
+    def each(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """Ids of whole texts, in order."""
+        slices, last, size = [], [], 0
+        #: What was found of a text that is not complete.
+        begun: list[np.ndarray] = []
+        for text in texts:
+            at = 0
+            while at < len(text) or at == 0:
+                space = _SPACE.search(text, at + SLICE)
+                end = space.end() if space else max(len(text), 1)
+                slices.append(text[at:end])
+                last.append(end >= len(text))
+                size += end - at
+                at = end
+                if size >= TOGETHER:
+                    yield from self._joined(slices, last, begun)
+                    slices, last, size = [], [], 0
+        yield from self._joined(slices, last, begun)
+
+    def _joined(self, slices: list[bytes], last: list[bool], begun: list[np.ndarray]) -> Iterator[np.ndarray]:
+        for ids, ends in zip(self._together(slices), last, strict=True):
+            begun.append(ids)
+            if ends:
+                yield np.concatenate(begun) if len(begun) > 1 else ids
+                begun.clear()
+
+    def _together(self, slices: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of slices whose words are looked up once."""
+        # What this pool frees goes back to the machine at once.
+        pool = pa.system_memory_pool()
+        binary = pa.array(slices, pa.binary(), memory_pool=pool)
+        split = pc.ascii_split_whitespace(binary.view(pa.string()), memory_pool=pool)
+        coded = pc.dictionary_encode(split.flatten(), memory_pool=pool)
+        bounds, codes = split.offsets.to_numpy().tolist(), coded.indices.to_numpy()
+        words = coded.dictionary.view(pa.binary())
+        del binary, split, coded
+        data, sizes = [], []
+        for at in range(0, len(words), 10 * AT_ONCE):
+            some = words[at : at + 10 * AT_ONCE].to_pylist()
+            found = [ids for _, ids in self._encoded([w for w in some if w])]
+            # White space at a slice's begin or end leaves an empty word.
+            if b"" in some:
+                found.insert(some.index(b""), b"")
+            data.append(b"".join(found))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        data, sizes = np.frombuffer(b"".join(data), "<u4"), np.concatenate([np.empty(0, np.int64), *sizes])
+        begins = np.cumsum(sizes) - sizes
+        for start, end in zip(bounds, bounds[1:], strict=False):
+            own = codes[start:end]
+            long = sizes[own]
+            ends = np.cumsum(long)
+            places = np.repeat(begins[own] - ends + long, long)
+            places += np.arange(len(places))
+            yield data[places]
 
 
 @lru_cache(maxsize=2)
@@ -229,13 +311,13 @@ def _tokenise(path: str, end: int):  # noqa: ANN202
     def tokenise(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = _words(path)
         signs = _signs(max(words.tokenizer.get_vocab_size(), end + 1))
-        last = np.array([end], "<u4").tobytes()
+        last = np.array([end], "<u4")
         # Ids below 65,536 are stored as 16-bit numbers.
         kind = "<u2" if len(signs) <= 1 << 16 else "<u4"
         for batch in batches:
             ids, sizes, places = [], [], []
-            for text in batch:
-                own = np.frombuffer(words.ids(text) + last, "<u4")
+            for found in words.each(batch):
+                own = np.append(found, last)
                 ids.append(own.astype(kind).tobytes())
                 sizes.append(len(own))
                 places.append([b * UNIT // len(own) for b in _sums(signs, own)])
